@@ -21,8 +21,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_templates import license_digest
+
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op6_token_counts, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
