@@ -15,6 +15,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_columns import encode_media, media_digest
+
+    return media_digest(encode_media(table(spark, sf_dir, "documents")))
+
+
 def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_graph import filter_urls
 
@@ -34,7 +40,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_graph, op6_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op6_token_counts, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
