@@ -27,6 +27,12 @@ def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -40,7 +46,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op6_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op4_best_fit_packing, op6_token_counts, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
