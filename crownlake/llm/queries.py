@@ -33,6 +33,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_ensemble import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -46,7 +53,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op4_best_fit_packing, op6_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
