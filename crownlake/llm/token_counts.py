@@ -107,7 +107,15 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         .mapInArrow(counted, "token string, freq long, pieces long")
     )
     table = checkpointed(table)
-    top = {r.token: r.pieces for r in table.orderBy(F.desc("freq"), "token").limit(head).collect()}
+    # the head by a frequency limit from a small histogram: no more than ``head`` rows reach the driver
+    step = F.floor(F.log2("freq") * 16)
+    least, room = None, head
+    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    top = {r.token: r.pieces for r in table.filter(step >= least).select("token", "pieces").toLocalIterator()} if least is not None else {}
     known = spark.sparkContext.broadcast(top)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
