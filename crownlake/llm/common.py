@@ -82,3 +82,39 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 def crc_remainder(key: str, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the highest ``count``, at most ``most``: all above a limit from a small histogram.
+
+    Ties at the limit all stay out, so the number is a proven bound and no sort is needed.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    least, room = None, most
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    return df.filter(step >= least) if least is not None else df.filter("false")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; smaller than a checkpoint."""
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="crownlake-stored")
+    path = f"{to.rstrip('/')}/crownlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of ``stored``."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

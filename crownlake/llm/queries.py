@@ -46,6 +46,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_templates import license_digest
 
@@ -53,7 +60,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op8_kneser_ney_toxicity, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
