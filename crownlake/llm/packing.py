@@ -11,6 +11,7 @@ Pieces then take their places by rank among those of equal length. Ranks come fr
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -32,6 +33,61 @@ CACHED_CHUNKS = 300_000
 SALT_ROWS = 250_000
 
 
+class WordPieces:
+    """Ids of plain lower-case words for a BPE file whose words end in a suffix, by a rank encoder.
+
+    The rank encoder knows bytes only, so the suffix becomes a private character at each word's end, whose
+    bytes join first with each other and then with the byte before, as the file's own alphabet has it.
+    """
+
+    end = "\U0010ffff"
+    plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
+
+    def __init__(self, spec: dict):
+        import regex
+        import tiktoken
+
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        vocab = spec["model"]["vocab"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        hidden = [b for b in range(256) if b not in visible]
+        byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        end = self.end.encode()
+
+        def raw(token: str) -> bytes:
+            return bytes(byte[c] for c in token.removesuffix("</w>")) + end * token.endswith("</w>")
+
+        known = {raw(t): k for t, k in vocab.items() if not (t.startswith("<|") and t.endswith("|>"))}
+        order = [bytes([b]) for b in range(256)] + [end[:k] for k in range(2, len(end) + 1)] + [bytes([b]) + end for b in range(256)]
+        order += [raw("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["model"]["merges"]]
+        ranks = {t: k for k, t in enumerate(dict.fromkeys(order))}
+        self.ids = np.array([known.get(t, 0) for t in ranks], "<u4")
+        self.last = np.array([t.endswith(end) for t in ranks])
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^ \n]+", mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, path: str) -> WordPieces | None:
+        """For files of this kind only: lower-casing, words by one pattern, bytes, suffix ``</w>``."""
+        with open(path) as f:
+            spec = json.load(f)
+        kinds = lambda part, name: [x["type"] for x in (spec.get(part) or {}).get(name, [])]
+        fits = (
+            kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+            and spec["pre_tokenizer"]["pretokenizers"][0].get("invert") and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("unk_token")
+        )
+        return cls(spec) if fits else None
+
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        """For chunks that match ``plain``."""
+        marked = self.pattern.sub(rf"\g<0>{self.end} ", "\n".join(chunks).lower())
+        words = np.cumsum([line.count(self.end) for line in marked.split("\n")])
+        ranks = np.array(self.encoding.encode_ordinary(marked))
+        ends = (np.flatnonzero(self.last[ranks]) + 1)[words - 1]
+        ids = self.ids[ranks].tobytes()
+        at = [0, *(4 * ends).tolist()]
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 class ChunkIds:
     """Ids of a text as little-endian 32-bit bytes, by chunks between white space.
 
@@ -49,6 +105,7 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.words = WordPieces.of(path)
 
     @classmethod
     def load(cls, path: str) -> ChunkIds:
@@ -66,6 +123,10 @@ class ChunkIds:
         if len(known) + len(new) > CACHED_CHUNKS:
             known.clear()
             new = list({c for chunks in split if chunks for c in chunks})
+        plain = [c for c in new if self.words.plain.fullmatch(c)] if self.words else []
+        if plain:
+            known.update(zip(plain, self.words.encoded(plain), strict=True))
+            new = [c for c in new if c not in known]
         known.update(zip(new, self._encoded(new), strict=True))
         return [b"".join(map(known.__getitem__, chunks)) if chunks is not None else self._encoded([t])[0] for t, chunks in zip(texts, split, strict=True)]
 
