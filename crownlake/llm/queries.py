@@ -66,8 +66,14 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import linked_groups
+
+    return linked_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_multi_index_hashing, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op8_kneser_ney_toxicity, op9_license_scans)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_multi_index_hashing, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op8_kneser_ney_toxicity, op9_license_scans, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
