@@ -240,3 +240,20 @@ def linked_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     ids = checkpointed(least.join(ids, "component").select("cls", "component_id"))
     out = rows.select("k", "n", "cls").join(ids, "cls", "left")
     return out.select(c("k").alias(key), c("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows whose component has a smaller key, with all their columns.
+
+    Of rows with the same key and text one stays. Rows with a null key stay.
+    """
+    c = F.col
+    groups = stored(linked_groups(docs, key=key, text=text, width=width, percent=percent))
+    gone = groups.filter(c(key) != c("component_id")).select(key).distinct()
+    again = checkpointed(groups.filter(c(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
+    small = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    kept = docs.join(small(gone), key, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key, text]))

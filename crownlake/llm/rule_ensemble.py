@@ -187,3 +187,9 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, *, key: str = "doc_id",
     stats = docs.select(F.col(key), (crc_remainder(key, modulus) == held_out).alias("held_out"), *(c.alias(n) for n, c in text_statistics(F.col(text)).items()))
     out = stats.select(key, "held_out", model.column().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_quality(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in text_statistics(F.col(text)).items()))
+    return rows.filter(model.column() >= threshold).select("row.*")
