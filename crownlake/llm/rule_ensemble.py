@@ -8,6 +8,7 @@ texts is a projection without shuffle or Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ def text_statistics(text: Column) -> dict[str, Column]:
     words = F.greatest(F.regexp_count(t, F.lit(r"\S+")), F.lit(1)).cast("double")
     lines = F.regexp_count(t, F.lit(r"\n")).cast("double") + 1
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double") / n
-    return {
+    stats = {
         "log_chars": F.log1p(F.length(t).cast("double")),
         "chars_per_word": n / words,
         "words_per_line": words / lines,
@@ -42,6 +43,7 @@ def text_statistics(text: Column) -> dict[str, Column]:
         "repeat_share": F.regexp_count(t, F.lit(r"(?<=^|\s)(\S{1,64}) (?=\1(?:\s|$))")).cast("double") / words,
         "distinct_share": F.size(F.array_distinct(F.split(t, r"\s+"))).cast("double") / words,
     }
+    return {name: F.coalesce(c, F.lit(0.0)) for name, c in stats.items()}
 
 
 @dataclass
@@ -70,14 +72,18 @@ class RuleEnsemble:
 
     def column(self) -> Column:
         """The score from columns named like the statistics."""
-        z = F.lit(float(self.bias))
+        terms = [F.lit(float(self.bias))]
         for r in self.rules:
-            test = F.lit(True)
-            for k, below, limit in r.conditions:
-                c = F.col(self.names[k])
-                test = test & ((c <= float(limit)) if below else (c > float(limit)))
-            z = z + F.when(test, float(r.weight)).otherwise(0.0)
-        return 1 / (1 + F.exp(-z))
+            tests = [(F.col(self.names[k]) <= float(limit)) if below else (F.col(self.names[k]) > float(limit)) for k, below, limit in r.conditions]
+            terms.append(F.when(_balanced(tests, lambda a, b: a & b), float(r.weight)).otherwise(0.0))
+        return 1 / (1 + F.exp(-_balanced(terms, lambda a, b: a + b)))
+
+
+def _balanced(parts: list[Column], join: Callable[[Column, Column], Column]) -> Column:
+    """The parts joined pairwise, so that the expression stays flat enough to be compiled."""
+    while len(parts) > 1:
+        parts = [join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int, path: tuple[Condition, ...], cuts: list[np.ndarray], least: int, out: list) -> None:
@@ -191,5 +197,7 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, *, key: str = "doc_id",
 
 def keep_quality(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in text_statistics(F.col(text)).items()))
-    return rows.filter(model.column() >= threshold).select("row.*")
+    stats = {n: c.alias(n) for n, c in text_statistics(F.col(text)).items()}
+    # a filter would be pushed below the statistics and repeat them in each rule; not past the partition's number
+    rows = docs.select(F.struct("*").alias("row"), F.spark_partition_id().alias("part"), *stats.values())
+    return rows.filter((model.column() >= threshold) & (F.col("part") >= 0)).select("row.*")
