@@ -53,6 +53,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentations of every turn of ``conversations``, the texts that subword regularisation is for."""
+    from .sampling import sampled_segmentations
+
+    return sampled_segmentations(table(spark, sf_dir, "conversations"), tokenizer_file("piece_bpe_32k.model"), keys=["conv_id", "turn"], k=3)
+
+
 def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -73,7 +80,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_multi_index_hashing, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op8_kneser_ney_toxicity, op9_license_scans, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_multi_index_hashing, op3_url_graph, op4_best_fit_packing, op5_rule_ensemble, op6_token_counts, op7_gumbel_segmentations, op8_kneser_ney_toxicity, op9_license_scans, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
