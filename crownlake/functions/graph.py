@@ -17,17 +17,17 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     are followed one step, so that long paths need rounds by the logarithm of their length. Rounds are
     joins and sums over edges, cut by reliable checkpoints; no component is gathered in one place.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))).filter("a <> b").distinct())
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))).filter("a <> b").distinct(), small=True)
     every = both.select(c("a").alias("node"))
     every = every.unionByName(nodes.select("node")) if nodes is not None else every
-    labels = checkpointed(every.distinct().withColumn("component", c("node")))
+    labels = checkpointed(every.distinct().withColumn("component", c("node")), small=True)
     while True:
         seen = both.join(labels.select(c("node").alias("b"), c("component").alias("fb")), "b").join(labels.select(c("node").alias("a"), c("component").alias("fa")), "a")
         better = seen.filter("fb < fa").select(F.explode(F.array("a", "fa")).alias("node"), c("fb").alias("component"))
         up = labels.select(c("node").alias("component"), c("component").alias("up"))
         followed = labels.join(up, "component").select("node", c("up").alias("component"))
         new = better.unionByName(followed).groupBy("node").agg(F.min("component").alias("least"))
-        new = checkpointed(labels.join(new, "node", "left").select("node", c("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component")))
+        new = checkpointed(labels.join(new, "node", "left").select("node", c("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component")), small=True)
         labels = new.select("node", "component")
         if new.filter("component <> old").isEmpty():
             return labels

@@ -7,10 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset."""
+def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
+    """``df`` from a checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset.
+
+    ``small`` frames (ids and labels) are written in as many files as the cluster has cores, however many
+    partitions a shuffle has: each file costs a process on some file systems.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="crownlake-checkpoint"))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(max(1, sc.defaultParallelism)) if small else df).checkpoint(eager=True)
