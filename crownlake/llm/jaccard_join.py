@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graph import components
 from .common import checkpointed, ship, sliced, stored
 from .shingles import mixed, sets_of
 
 #: Counters of the sketch; hash ranges of the suffix filter; most class ids that are broadcast.
-COUNTERS, RANGES, BROADCAST_IDS = 1 << 18, 32, 1_000_000
+COUNTERS, RANGES, BROADCAST_IDS = 1 << 18, 512, 1_000_000
 #: Bytes of text that are worked on at once.
 BATCH_BYTES = 512 << 10
 
@@ -70,7 +71,7 @@ def shingle_counts(src: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(src: DataFrame, width: int, percent: int) -> DataFrame:
-    """k, cls (signature of the set, null if empty), n, ranges (shingles by hash range), prefix (rarest first)."""
+    """k, cls (signature of the set, null if empty), n, prefix (rarest first)."""
     counts = src.sparkSession.sparkContext.broadcast(shingle_counts(src, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +83,12 @@ def prefixes(src: DataFrame, width: int, percent: int) -> DataFrame:
             place = np.arange(len(h)) - np.repeat(limits[:-1], n)
             size = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             chosen = h[order][place < np.repeat(size, n)].view(np.int64)
-            ranges = np.bincount(doc * RANGES + (h >> np.uint64(59)).astype(np.int64), minlength=len(n) * RANGES).astype(np.int32)
-            lists = lambda v, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, kind))
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(chosen))
             yield pa.record_batch(
-                [batch.column(0), pa.array(_signatures(h, limits).view(np.int64), mask=n == 0), pa.array(n), lists(ranges, np.arange(0, RANGES * len(n) + 1, RANGES), pa.int32()), lists(chosen, np.concatenate([[0], np.cumsum(size)]), pa.int64())],
-                ["k", "cls", "n", "ranges", "prefix"],
+                [batch.column(0), pa.array(_signatures(h, limits).view(np.int64), mask=n == 0), pa.array(n), prefix], ["k", "cls", "n", "prefix"]
             )
 
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, cls long, n long, ranges array<int>, prefix array<long>")
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, cls long, n long, prefix array<long>")
 
 
 def shared_postings(docs: DataFrame) -> DataFrame:
@@ -151,31 +150,62 @@ def may_link(n: Column, pos: Column, m: Column, mpos: Column, percent: int) -> C
     return length & (1 + F.least(n - pos - 1, m - mpos - 1) >= needed(n, m, percent))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _pair(a: str, n: str, b: str, m: str) -> list[Column]:
+    """a < b, each with its size."""
+    low, c = F.col(a) < F.col(b), F.col
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(low, c(n)).otherwise(c(m)).alias("n_a"), F.when(low, c(m)).otherwise(c(n)).alias("n_b")]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    meta = classes.select("cls", "n", "ranges")
-    for side in "ab":
-        pairs = pairs.join(meta.toDF(side, f"n_{side}", f"ranges_{side}"), side)
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    pairs = checkpointed(pairs.filter(F.col("n_a") + F.col("n_b") - apart >= 2 * needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls").select(F.col("first").alias("k")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    own = src.join(F.broadcast(ids) if small else ids, "k", "left_semi")
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast, if they are at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    """The classes in ``pairs``, once each."""
+    return checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), small=True)
+
+
+def class_sets(ids: DataFrame, classes: DataFrame, src: DataFrame, width: int) -> DataFrame:
+    """cls, ranges, members of the classes ``ids``: the set, and its numbers by hash range (255 at most)."""
+    first = classes.join(_small(ids), "cls").select(F.col("first").alias("k")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "t", BATCH_BYTES):
             h, limits = sets_of(_bytes(batch, "t"), width)
-            full = np.flatnonzero(np.diff(limits))
+            n = np.diff(limits)
+            doc = np.repeat(np.arange(len(n)), n)
+            ranges = np.bincount(doc * RANGES + (h % np.uint64(RANGES)).astype(np.int64), minlength=len(n) * RANGES).reshape(len(n), RANGES)
+            ranges = np.minimum(ranges, 255).astype(np.uint8)
+            full = np.flatnonzero(n)
             raw = [h[limits[k] : limits[k + 1]].tobytes() for k in full]
-            yield pa.record_batch([pa.array(_signatures(h, limits)[full].view(np.int64)), pa.array(raw, pa.binary())], ["cls", "members"])
+            yield pa.record_batch([pa.array(_signatures(h, limits)[full].view(np.int64)), pa.array([ranges[k].tobytes() for k in full], pa.binary()), pa.array(raw, pa.binary())], ["cls", "ranges", "members"])
+
+    sets = stored(src.join(_small(first), "k", "left_semi").select("t").mapInArrow(make, "cls long, ranges binary, members binary"))
+    # a key that is repeated brings more texts or one text several times
+    n, different = sets.agg(F.count("*"), F.count_distinct("cls")).first()
+    return sets if n == different else sets.dropDuplicates(["cls"])
 
-    sets = own.select("t").mapInArrow(make, "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, n_a, b, n_b) of classes that link, as (a, b): the suffix filter, then the whole sets."""
+    sets = class_sets(_members(pairs), classes, src, width)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy() for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for k in (4, 5))
+                most = n + m - 2 * -(-(n + m) * percent // (100 + percent))  # members that may be in one set only
+                yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= most))
+
+    near = pairs
+    for side in "ab":
+        near = near.join(sets.select(F.col("cls").alias(side), F.col("ranges").alias(f"ranges_{side}")), side)
+    near = checkpointed(near.select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b").mapInArrow(may, "a long, b long"), small=True)
+    own = sets.join(_small(_members(near)), "cls", "left_semi")
     for side in "ab":
-        pairs = pairs.join(sets.toDF(side, f"members_{side}"), side)
+        near = near.join(own.select(F.col("cls").alias(side), F.col("members").alias(f"members_{side}")), side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "members_a"):
@@ -187,57 +217,40 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, p
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "members_a", "members_b").mapInArrow(test, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, component (least node) of the nodes in ``links`` (a, b); each round takes the least label of
-    all neighbours and then the label's own label, until none changes."""
-    links = checkpointed(links.distinct())
-    both = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(least.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
-        labels = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
+    return near.select("a", "b", "members_a", "members_b").mapInArrow(test, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (least key reachable by links, or its own).
 
     Two texts link when 100 * common >= percent * union of their shingle sets. Null text and texts
-    without words have an empty set and link with nothing. Rows with a null key count as texts, but give no
-    component id (it is null if no other key is in the component). Repeated rows and keys keep their rows.
+    without words have an empty set and link with nothing. Rows with a null key belong to a component only by an
+    equal set of a row with a key; otherwise their component id is null. Repeated rows and keys keep their rows.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     ship(docs.sparkSession)
     src = _texts(docs, key, text)
     rows = stored(prefixes(src, width, percent))
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("k").alias("first"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+    classes = checkpointed(rows.filter("cls is not null").groupBy("cls").agg(F.min("k").alias("first")), small=True)
     shared = stored(shared_postings(rows))
     c = F.col
-    star = shared.filter(c("cls") != c("pivot")).filter(may_link(c("n"), c("pos"), c("pivot_n"), c("pivot_pos"), percent)).select(*_pair("cls", "pivot")).distinct()
-    star = checkpointed(star)
-    links = checkpointed(verified(star, classes, src, width, percent))
+    star = shared.filter(c("cls") != c("pivot")).filter(may_link(c("n"), c("pos"), c("pivot_n"), c("pivot_pos"), percent)).select(*_pair("cls", "n", "pivot", "pivot_n")).distinct()
+    star = checkpointed(star, small=True)
+    links = checkpointed(verified(star, classes, src, width, percent), small=True)
     groups = components(links)
     # buckets that still hold several components: what the pivots did not join
-    label = lambda df, node: df.join(groups.select(c("node").alias(node), c("component").alias(f"{node}_group")), node, "left").withColumn(f"{node}_group", F.coalesce(f"{node}_group", node))
-    open_rows = label(shared.select("shingle", "cls", "n", "pos"), "cls")
-    several = open_rows.groupBy("shingle").agg(F.min("cls_group").alias("low"), F.max("cls_group").alias("high")).filter("low <> high").select("shingle")
-    open_rows = open_rows.join(several, "shingle")
-    other = open_rows.toDF("shingle", "other", "m", "mpos", "other_group")
-    rest = open_rows.join(other, "shingle").filter((c("cls") < c("other")) & (c("cls_group") != c("other_group")) & may_link(c("n"), c("pos"), c("m"), c("mpos"), percent))
-    rest = rest.select(*_pair("cls", "other")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = checkpointed(rest)
+    named = _small(groups.select(c("node").alias("cls"), c("component").alias("grp")))
+    labelled = shared.select("shingle", "cls", "n", "pos").join(named, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    several = checkpointed(labelled.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("shingle"), small=True)
+    ours = checkpointed(labelled.join(_small(several), "shingle").select("shingle", "cls", "n", "pos", "grp"))
+    other = ours.toDF("shingle", "other", "m", "mpos", "other_grp")
+    rest = ours.join(other, "shingle").filter((c("cls") < c("other")) & (c("grp") != c("other_grp")) & may_link(c("n"), c("pos"), c("m"), c("mpos"), percent))
+    rest = checkpointed(rest.select(*_pair("cls", "n", "other", "m")).distinct().join(star, ["a", "b"], "left_anti"), small=True)
     if not rest.isEmpty():
         groups = components(links.unionByName(verified(rest, classes, src, width, percent)))
     least = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "first")
     ids = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = checkpointed(least.join(ids, "component").select("cls", "component_id"))
+    ids = checkpointed(least.join(ids, "component").select("cls", "component_id"), small=True)
     out = rows.select("k", "n", "cls").join(ids, "cls", "left")
     return out.select(c("k").alias(key), c("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
 
@@ -251,9 +264,8 @@ def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     groups = stored(linked_groups(docs, key=key, text=text, width=width, percent=percent))
     gone = groups.filter(c(key) != c("component_id")).select(key).distinct()
     again = checkpointed(groups.filter(c(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
-    small = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    kept = docs.join(small(gone), key, "left_anti")
+    kept = docs.join(_small(gone), key, "left_anti")
     if again.isEmpty():
         return kept
-    again = small(again)
+    again = _small(again)
     return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key, text]))
