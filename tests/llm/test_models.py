@@ -13,7 +13,8 @@ from crownlake.llm.rule_ensemble import fit_quality, fit_rules, keep_quality, sc
 from crownlake.llm.sampling import Draws, Sampler, decode_ids, sampled_segmentations
 from crownlake.llm.toxicity import calibrate, drop_toxic, fit_toxicity, score_toxicity
 
-WORDS = "the of a tion ing er house river stone walk green paper night seven along under".split()
+#: As in real texts, a word stands after many different ones.
+WORDS = [a + b for a in "the of re tion ing er ho ri sto wal gre pa nig sev".split() for b in "a en ou ly st ble".split()]
 
 
 def corpus(n, spoil, seed):
