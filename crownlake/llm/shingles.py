@@ -48,7 +48,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(letter)) - np.repeat(np.cumsum(size) - size, size)
     value = _BYTE[x[letter]] * _PLACE[place & 4095]
     if size.max() > 4096:
-        value = value * (_PLACE[(place >> 12) & 4095] | _U(1))
+        value = value * np.where(place < 4096, _U(1), _PLACE[(place >> 12) & 4095] | _U(1))  # 1 for all short words, whatever stands beside them
     return mixed(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64)), start
 
 
