@@ -56,6 +56,20 @@ def chm_from_dsm(dsm: DataFrame, points: DataFrame, resolution: float, ground_pe
     return dsm.join(fine, ["row", "col"]).select("row", "col", height.alias("chm"))
 
 
+def chm_from_rasters(dsm: DataFrame, dtm: DataFrame, ratio: float = 1.0) -> DataFrame:
+    """row, col, chm: a surface raster less a given ground raster, whose pixels are ``ratio`` times as wide.
+
+    On the same grid (ratio 1) pixels are matched, else the ground is resampled bilinearly.
+    """
+    ground = dtm.select("row", "col", c("v").alias("_ground")) if ratio == 1.0 else bilinear(dtm, dsm, ratio).withColumnRenamed("v", "_ground")
+    return dsm.join(ground, ["row", "col"]).filter(c("_ground").isNotNull()).select("row", "col", F.greatest(c("v") - c("_ground"), F.lit(0.0)).alias("chm"))
+
+
+def peak_seeds(peaks: DataFrame, points: DataFrame) -> DataFrame:
+    """Peaks (peak_id, x, y) with z, the mean height of the points: seeds for a clustering in space."""
+    return peaks.join(F.broadcast(points.agg(F.avg("z").alias("z"))))
+
+
 def gaussian_weights(sigma: float) -> list[tuple[int, float]]:
     """Offsets and weights that sum to 1, out to four sigmas."""
     radius = int(4 * sigma + 0.5)

@@ -86,3 +86,20 @@ def cluster_files(points: DataFrame, name: Column | None = None, cluster: str =
 def save_clusters(points: DataFrame, folder: str, cluster: str = "cluster_id") -> int:
     """Writes each cluster to its file in the emptied folder; the number of files."""
     return files.save(cluster_files(points, cluster=cluster), folder)
+
+
+def save_named(points: DataFrame, names: DataFrame, folder: str, cluster: str = "cluster_id") -> int:
+    """Writes clusters under the names of a table (cluster, name), made safe for file systems.
+
+    A cluster without a name raises; of clusters with one name all points go to one file.
+    """
+    if not points.select(cluster).distinct().join(names, cluster, "left_anti").isEmpty():
+        raise ValueError("a cluster has no name")
+    safe = F.concat(F.regexp_replace("_name", r'[<>:"/\\|?*]', "_"), F.lit(".ply"))
+    return files.save(cluster_files(points.join(names.select(cluster, F.col("name").alias("_name")), cluster), safe), folder)
+
+
+def save_multimatches(points: DataFrame, matches: DataFrame, folder: str, cluster: str = "cluster_id") -> int:
+    """Writes each cluster near an ambiguous label to the path that ``multimatches`` gives it."""
+    own = points.join(matches.select(F.col("file").alias(cluster), F.col("path").alias("_path")), cluster)
+    return files.save(cluster_files(own, F.col("_path")), folder)
