@@ -158,3 +158,29 @@ def test_whole_plans(spark):
     gps = spark.createDataFrame([(0, "pinyon", 5.0, 5.0), (1, "juniper", 14.0, 13.0)], "gps_id long, Name string, gx double, gy double")
     names = [r.Name for r in matched(stats, gps).collect()]
     assert names.count("pinyon") == 1 and names.count("juniper") == 1
+
+
+def test_samples_and_autoencoder(spark):
+    from crownlake.operators import autoencoder as A
+
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 3, *(float(v) for v in rng.normal(0, 1 + i % 3, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "point_id long, cluster_id int, x double, y double, z double")
+    for n in (7, 32):
+        own = C.sample_normalized(df, n).toPandas()
+        assert own.groupby("cluster_id").size().tolist() == [n] * 3 and sorted(own["k"].unique()) == list(range(n))
+        assert np.sqrt((own[["x", "y", "z"]] ** 2).sum(axis=1)).max() <= 1
+    model = A.PointAutoencoder.create(8, 4)
+    x = rng.normal(size=(8, 3))
+    loss, grads = model.gradients(x)
+    for k, at in ((0, (1, 2)), (5, (1,)), (8, (3, 7))):
+        model.weights[k][at] += 1e-6
+        high, _ = model.gradients(x)
+        model.weights[k][at] -= 2e-6
+        low, _ = model.gradients(x)
+        model.weights[k][at] += 1e-6
+        assert (high - low) / 2e-6 == pytest.approx(grads[k][at], rel=1e-3, abs=1e-6)
+    model = A.train_autoencoder(df, n=16, dim=8, epochs=15)
+    assert model.losses[-1] < model.losses[0]
+    again = A.PointAutoencoder.from_bytes(model.to_bytes())
+    assert A.embeddings(df, again).count() == 3
