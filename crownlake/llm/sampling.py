@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,16 @@ from .common import ship, sliced
 
 #: Words whose lattices a worker remembers.
 CACHED_WORDS = 100_000
+#: Log-probability of a set below which its further branches can't come among the first k, save with a chance
+#: of about e**RARE times a few, so that the rest of its best path is drawn piece by piece.
+RARE = -45.0
 SPACE = "▁"
 
 
 class Lattice:
     """The lattice of one word: for each place, pieces that begin there as (end, id, score), and log sums to the end."""
 
-    __slots__ = ("arcs", "log_z", "size")
+    __slots__ = ("arcs", "log_z", "shares", "size")
 
     def __init__(self, word: str, pieces: dict[str, tuple[int, float]], longest: int, byte_ids: list[int], byte_score: float, theta: float):
         n = len(word)
@@ -56,6 +61,15 @@ class Lattice:
                 arcs.append((i + 1, tuple(byte_ids[b] for b in raw), theta * byte_score * len(raw)))
             top = max(w + self.log_z[j] for j, _, w in arcs)
             self.log_z[i] = top + math.log(sum(math.exp(w + self.log_z[j] - top) for j, _, w in arcs))
+        self.shares: list[list[float] | None] = [None] * n
+
+    def cumulative(self, i: int) -> list[float]:
+        """Limits between the shares that the pieces at a place have of the paths from it."""
+        found = self.shares[i]
+        if found is None:
+            z = self.log_z
+            found = self.shares[i] = list(accumulate(math.exp(w + z[j] - z[i]) for j, _, w in self.arcs[i][:-1]))
+        return found
 
 
 class Draws:
@@ -65,10 +79,16 @@ class Draws:
         base = hashlib.blake2b(f"{seed}:{key}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
         self.random = np.random.Generator(np.random.Philox(key=int.from_bytes(base, "little")))
         self.block: list[float] = []
+        self.uniforms: list[float] = []
+
+    def uniform(self) -> float:
+        if not self.uniforms:
+            self.uniforms = self.random.random(512).tolist()
+        return self.uniforms.pop()
 
     def gumbel(self) -> float:
         if not self.block:
-            u = np.maximum(self.random.random(512), 2.0**-60)
+            u = np.maximum(self.random.random(128), 2.0**-60)
             self.block = (-np.log(-np.log(u))).tolist()
         return self.block.pop()
 
@@ -125,54 +145,66 @@ class Sampler:
             found = self.known[word] = Lattice(word, self.pieces, self.longest, self.bytes, self.byte_score, self.theta)
         return found
 
+    def _walk(self, chain: list[Lattice], w: int, i: int, so_far: float, ids, draws: Draws):
+        """One path from a place to the end, each piece by its probability given the place."""
+        for at in range(w, len(chain)):
+            x = chain[at]
+            arcs, cumulative, size = x.arcs, x.cumulative, x.size
+            while i < size:
+                own = arcs[i]
+                j, more, score = own[0] if len(own) == 1 else own[bisect_right(cumulative(i), draws.uniform())]
+                so_far, ids, i = so_far + score, (ids, more), j
+            i = 0
+        return so_far, ids
+
     def sample(self, text: str, k: int, draws: Draws) -> list[tuple[list[int], float, float]]:
         """At most k distinct segmentations: ids, log-probability, inclusion score; the likeliest draws first."""
         chain = [self.lattice(w) for w in self.words(text)]
         if not chain:
             return [([], 0.0, 1.0)]
         total = sum(x.log_z[0] for x in chain)
-        # an entry: minus the Gumbel maximum, number, word, place, log-probability up to here, ids as a linked list
-        first = draws.gumbel()
-        heap = [(-first, 0, 0, 0, 0.0, None)]
-        numbers, out = 1, []
         after = [0.0] * (len(chain) + 1)
         for w in range(len(chain) - 1, -1, -1):
             after[w] = after[w + 1] + chain[w].log_z[0]
-        while heap and len(out) <= k:
+        # an entry: minus the Gumbel maximum, number, word, place, log-probability up to here, ids as a linked list
+        heap = [(-draws.gumbel(), 0, 0, 0, 0.0, None)]
+        numbers, out = 1, []
+        while heap and len(out) < k:
             high, _, w, i, so_far, ids = heapq.heappop(heap)
-            if w < len(chain) and i == chain[w].size:
-                w, i = w + 1, 0
-            # the highest set goes on along the branch that holds its maximum; the others wait in the heap
+            goal = -high
+            # the branch with the set's maximum is followed; the other branches wait in the heap
             while w < len(chain):
                 x = chain[w]
+                if i == x.size:
+                    w, i = w + 1, 0
+                    continue
                 arcs = x.arcs[i]
                 if len(arcs) == 1:
-                    j, more, score = arcs[0]
-                    so_far, ids, i = so_far + score, (ids, more), j
-                else:
-                    rest = after[w + 1] - total
-                    phi = [so_far + s + x.log_z[j] + rest for j, _, s in arcs]
-                    g = [p + draws.gumbel() for p in phi]
-                    z, goal = max(g), -high
-                    best = -1
-                    for n, ((j, more, score), value) in enumerate(zip(arcs, g, strict=True)):
-                        if value == z and best < 0:
-                            best = n
-                            continue
+                    i, more, score = arcs[0]
+                    so_far, ids = so_far + score, (ids, more)
+                    continue
+                rest = after[w + 1] - total
+                if so_far + x.log_z[i] + rest < RARE and len(heap) >= k - len(out):
+                    so_far, ids = self._walk(chain, w, i, so_far, ids, draws)
+                    break
+                g = [so_far + s + x.log_z[j] + rest + draws.gumbel() for j, _, s in arcs]
+                z = max(g)
+                best = g.index(z)
+                for n, value in enumerate(g):
+                    if n != best:
+                        j, more, score = arcs[n]
                         v = goal - value + math.log1p(-math.exp(min(value - z, -1e-15)))
                         cond = goal - max(0.0, v) - math.log1p(math.exp(-abs(v)))
                         heapq.heappush(heap, (-cond, numbers, w, j, so_far + score, (ids, more)))
                         numbers += 1
-                    j, more, score = arcs[best]
-                    so_far, ids, i = so_far + score, (ids, more), j
-                if i == x.size:
-                    w, i = w + 1, 0
-                if len(heap) > 8 * (k + 2) + 64:  # only the best k + 1 can still come out: each set holds one path at least
+                i, more, score = arcs[best]
+                so_far, ids = so_far + score, (ids, more)
+                if len(heap) > 8 * (k + 2) + 64:  # each set holds a path at least, so no more than these come out
                     heap = heapq.nsmallest(k + 1 - len(out), heap)
-            out.append((ids, so_far - total, -high))
-        bound = out[k][2] if len(out) > k else -math.inf
+            out.append((ids, so_far - total))
+        bound = -heap[0][0] if heap else -math.inf
         result = []
-        for ids, log_p, _ in out[:k]:
+        for ids, log_p in out:
             parts = []
             while ids is not None:
                 ids, more = ids
@@ -188,11 +220,14 @@ def sampled_segmentations(rows: DataFrame, path: str, *, keys: list[str], text:
     Draws are seeded by the keys, so rows with the same keys and text get the same sample; null keys are a
     key like others. Null and empty texts have one segmentation, the empty one, with inclusion 1; a text with
     fewer than k segmentations has all of them, with inclusion 1. An empty table gives an empty result. Other
-    columns of ``rows`` are not read. Rows are independent, so there is no shuffle.
+    columns of ``rows`` are not read. Rows are independent; they are dealt round robin, as a row is work for
+    far longer than it takes to send.
     """
     ship(rows.sparkSession)
     own = [f"k{n}" for n in range(len(keys))]
     src = rows.select(*(F.col(c).alias(n) for c, n in zip(keys, own, strict=True)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    # the work is far larger than the texts, so these are dealt to all cores
+    src = src.repartition(max(src.rdd.getNumPartitions(), 4 * rows.sparkSession.sparkContext.defaultParallelism))
     names = [*own, "rank", "ids", "log_prob", "inclusion"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
