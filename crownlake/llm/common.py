@@ -20,7 +20,9 @@ _SHIPPED = "_crownlake_shipped"
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that workers can import it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows may be long texts
+    # rows may be long texts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return
