@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import components
+from ..functions.ranks import numbered
 from ..plans.lineage import checkpointed
 
 c = F.col
@@ -131,7 +132,7 @@ def find_peaks(raster: DataFrame, n_rows: int, n_cols: int, *, min_height: float
     half = max(1, math.ceil(search_radius / resolution))
     regions = plateaus(local_maxima(gaussian_smooth(raster, n_rows, n_cols, sigma), half, min_height))
     centres = regions.groupBy("region").agg(F.avg("row").alias("row"), F.avg("col").alias("col"))
-    peaks = centres.withColumn("peak_id", F.row_number().over(Window.orderBy("region")))
+    peaks = numbered(centres, "region", out="peak_id")
     heights = raster.select(c("row").alias("_r"), c("col").alias("_c"), c("v").alias("height"))
     return peaks.withColumns({"_r": c("row").cast("int"), "_c": c("col").cast("int")}).join(heights, ["_r", "_c"], "left").select("peak_id", "row", "col", "height")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters as A
 from ..functions.geometry import pairs_within, pixel_centre, pixel_of, utm
+from ..functions.ranks import numbered
 from ..operators import clusters as C
 from ..operators import labels as L
 from ..operators import models as M
@@ -164,10 +165,7 @@ def marker_dilation(spark, sf_dir):
 
 
 def _peaks(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    tops = R.local_maxima(_chm(spark, sf_dir).select("row", "col", c("chm").alias("v")), 3, 1.0)
-    return tops.withColumn("peak_id", F.row_number().over(Window.orderBy("row", "col")))  # peaks only: some hundred rows
+    return numbered(R.local_maxima(_chm(spark, sf_dir).select("row", "col", c("chm").alias("v")), 3, 1.0), "row", "col", out="peak_id")
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import pairs_within
+from ..functions.ranks import numbered
 from ..operators import clusters as C
 from ..operators import labels as L
 from ..operators import points as P
@@ -61,11 +62,9 @@ def clustering(points: DataFrame, s: Settings | None = None) -> DataFrame:
     green = P.green_crowns(own).filter("green").select("cluster_id")
     own = P.strip_ground(own.join(green, "cluster_id", "left_semi"))
     own = C.split_large(own, min_points=s.min_points, max_radius=s.max_radius, min_distance=s.min_peak_distance, k=s.min_points)
-    from pyspark.sql import Window
-
     own = checkpointed(own)
-    parts = own.select("cluster_id", "part").distinct().withColumn("new", F.row_number().over(Window.orderBy("cluster_id", "part")) - 1)  # one row per cluster
-    own = own.join(F.broadcast(parts), ["cluster_id", "part"]).drop("cluster_id", "part").withColumnRenamed("new", "cluster_id")
+    parts = numbered(own.select("cluster_id", "part").distinct(), "cluster_id", "part", out="new", start=0)
+    own = own.join(parts, ["cluster_id", "part"]).drop("cluster_id", "part").withColumnRenamed("new", "cluster_id")
     return P.aabb_clusters(own)
 
 

@@ -184,3 +184,12 @@ def test_samples_and_autoencoder(spark):
     assert model.losses[-1] < model.losses[0]
     again = A.PointAutoencoder.from_bytes(model.to_bytes())
     assert A.embeddings(df, again).count() == 3
+
+
+def test_numbers_are_places(spark):
+    from crownlake.functions.ranks import numbered
+
+    values = [int(v) for v in np.random.default_rng(1).permutation(500)] + [7, 7]
+    got = numbered(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), "v", out="n").orderBy("n").collect()
+    assert [r.v for r in got] == sorted(values) and [r.n for r in got] == list(range(1, 503))
+    assert numbered(spark.createDataFrame([], "v int"), "v", out="n").count() == 0
