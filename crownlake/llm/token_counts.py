@@ -20,8 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpointed, ship, sliced
+from .common import checkpointed, most_frequent, ship, sliced
 
 #: Most distinct pre-tokens that one task holds before it passes its sums on.
 TASK_KEYS = 400_000
@@ -107,15 +108,7 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         .mapInArrow(counted, "token string, freq long, pieces long")
     )
     table = checkpointed(table)
-    # the head by a frequency limit from a small histogram: no more than ``head`` rows reach the driver
-    step = F.floor(F.log2("freq") * 16)
-    least, room = None, head
-    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.step
-    top = {r.token: r.pieces for r in table.filter(step >= least).select("token", "pieces").toLocalIterator()} if least is not None else {}
+    top = {r.token: r.pieces for r in most_frequent(table, "freq", head).select("token", "pieces").toLocalIterator()}
     known = spark.sparkContext.broadcast(top)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +131,6 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                 ["rid", "k", "n_bytes", "base", "token", "freq"],
             )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = src.schema["k"].dataType
     key_type = to_arrow_type(kind)
     rows = src.select(F.monotonically_increasing_id().alias("rid"), "k", "t").mapInArrow(partial, f"rid long, k {kind.simpleString()}, n_bytes long, base long, token string, freq long")
