@@ -187,3 +187,29 @@ def license_digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         labels("base").alias("base_labels"), labels("base", "matches").alias("labels"),
         F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+def digest_sql(table: str = "documents") -> str:
+    """``license_digest`` of a table in SQL: phrases by comparing words, templates as regular expressions."""
+    phrases = {p.split(" ")[0] + str(k): (p.split(" "), label) for k, (p, label) in enumerate(BASE.items())}
+    places = ", ".join(
+        f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words)) + f"), lambda i: i - 1) AS h{k}"
+        for k, (words, _) in enumerate(phrases.values())
+    )
+    pattern = lambda markup: "".join(
+        f"(?: [^ ]+){{{p[2:-2].replace('-', ',')}}}" if p.startswith("<<") else f"(?: {' '.join(p[2:-2].split())})?" if p.startswith("[[") else " " + " ".join(p.split())
+        for p in re.split(r"(\[\[.*?\]\]|<<\d+-\d+>>)", markup) if p.strip()
+    )
+    base = [f"CASE WHEN len(h{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases.values())]
+    own = [f"CASE WHEN regexp_matches(t, '{pattern(markup)} ') THEN '{label}' END" for label, markup in TEMPLATES]
+    every = "list_concat(" * (len(phrases) - 1) + "h0" + "".join(f", h{k})" for k in range(1, len(phrases)))
+    joined = lambda parts: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+    WITH words AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {table}
+    ), found AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t, {places} FROM words
+    ), named AS (SELECT doc_id, n_words, {every} AS h, {joined(base)} AS base_labels, {joined([*base, *own])} AS labels, {joined(own)} AS own FROM found)
+    SELECT doc_id, n_words, len(h) AS n_base, list_min(h) AS first_word, list_max(h) AS last_word, base_labels, labels,
+      CASE WHEN own <> '' THEN 1.0::DOUBLE WHEN len(h) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+    FROM named
+    """

@@ -101,4 +101,6 @@ SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN least USING (do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_jaccard_join": _OP10}
+    from .license_templates import digest_sql
+
+    return {"op9_license_scans": digest_sql(), "op10_jaccard_join": _OP10}
