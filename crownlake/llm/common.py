@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -55,8 +57,16 @@ def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[limits[0] : limits[-1]], limits - limits[0]
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only one C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that one holds at most ``max_bytes`` of ``column``, or a single row."""
+    release()
     for batch in batches:
         n, start = batch.num_rows, 0
         if not n:

@@ -152,6 +152,7 @@ def token_pieces(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                     part = ids[a : a + 4 * capacity]
                     row.append(r), piece.append(p), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
             yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
+        own.known.clear()  # workers live on, and other operators need the room
 
     return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
 
