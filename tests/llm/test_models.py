@@ -2,12 +2,14 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from cases import ROWS, documents, ids
 
+from crownlake.llm import toxicity
 from crownlake.llm.queries import tokenizer_file
 from crownlake.llm.rule_ensemble import fit_quality, fit_rules, keep_quality, score_quality, text_statistics
 from crownlake.llm.sampling import Draws, Sampler, decode_ids, sampled_segmentations
@@ -70,6 +72,35 @@ def test_quality_on_awkward_rows(spark, quality):
     assert all(r.score == pytest.approx(0.5) for r in score_quality(documents(spark), empty).collect())
 
 
+def test_toxicity_of_phrases_and_joined_values(spark, monkeypatch):
+    """Expressions of common words, and a rare word in a fixed phrase, count; what is broadcast changes nothing."""
+
+    def spoil(words, rng):
+        for _ in range(3):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([["ren", "paly"], ["gutter", "zworm"]])
+        return " ".join(words)
+
+    rows = corpus(600, spoil, 3)
+    rows = [(k, t if b else t + " ren wallou paly gutter", b) for k, t, b in rows]
+    docs = documents(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(k, 0, b) for k, _, b in rows], "doc_id long, quality int, toxic int")
+    scores = {}
+    for head in (toxicity.HEAD, 3):
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        model = fit_toxicity(docs, labels)
+        assert (model.live is None) == (head > 3)
+        scores[head] = {r.doc_id: r.score for r in score_toxicity(docs, model).collect()}
+    plain, joined = scores.values()
+    assert plain == pytest.approx(joined, abs=1e-12)
+    held = [(plain[k] >= 0.3) == bool(b) for k, _, b in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert held and np.mean(held) > 0.95
+    # words and bigrams of all training folds are in the model, the rare ones too
+    assert {"zworm", "gutter", "ren"} <= set(model.words)
+    names = {r.name for r in model.entries.collect()}
+    assert "ren paly" in names
+
+
 def test_rules_are_sparse_and_exact():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
