@@ -469,8 +469,9 @@ def feature_selection(spark, sf_dir):
 
 @query()
 def smote(spark, sf_dir):
-    rows = _rows(spark, sf_dir).filter("y <> 2 or id % 3 = 0")
-    return r6(M.smote(rows, _FEATURES, "y", "id", {2: 100}), *_FEATURES)
+    rows = _rows(spark, sf_dir)
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    return r6(M.smote(rows, _FEATURES, "y", "id", dict.fromkeys(counts, max(counts.values(), default=0))), *_FEATURES)
 
 
 # ---- reports --------------------------------------------------------------------------------------

@@ -53,3 +53,12 @@ def test_entry_imports_without_optional_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert said.stdout.split() == [str(len(catalog.queries())), "False"], said.stderr
+
+
+def test_smote_keeps_all_rows_and_levels_the_classes(spark):
+    rows = catalog._rows(spark, DATA)
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    out = catalog.smote(spark, DATA)
+    assert len(set(counts.values())) > 1
+    assert {r.y: r["count"] for r in out.groupBy("y").count().collect()} == dict.fromkeys(counts, max(counts.values()))
+    assert out.select("y", "f0").intersectAll(catalog.r6(rows, "f0").select("y", "f0")).count() == sum(counts.values())
