@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import ROWS, documents, ids
+from pyspark.sql import functions as F
 
 from crownlake.llm import toxicity
 from crownlake.llm.queries import tokenizer_file
@@ -122,6 +123,68 @@ def test_toxicity_on_held_out_rows(toxic):
     assert (model.p[~stem].sum(axis=0) <= 1 + 1e-9).all()
 
 
+def brute_kneser_ney(rows):
+    """The model's formulas over (words, label) rows, in plain Python: a function from (before, word) to the log ratio."""
+    kinds = (1, 0)
+    contexts = {y: {} for y in kinds}
+    for words, y in rows:
+        for u, v, w in zip(["", "", *words], ["", *words], words, strict=False):
+            contexts[y].setdefault((v, w), set()).add(zlib.crc32(u.encode()) % 63)
+    n = {y: {g: len(c) for g, c in contexts[y].items()} for y in kinds}
+    grams = set(n[0]) | set(n[1])
+    both = Counter(w for _, w in grams)
+    stem_both = Counter()
+    for w, k in both.items():
+        stem_both[w[: toxicity.STEM]] += k
+    word = {y: Counter(w for _, w in n[y]) for y in kinds}
+    stem = {y: Counter() for y in kinds}
+    for y in kinds:
+        for w, k in word[y].items():
+            stem[y][w[: toxicity.STEM]] += k
+    size = {y: sum(word[y].values()) for y in kinds}
+    grow = {y: max(1.0, size[y] / min(size.values())) for y in kinds}
+
+    def p(y, v, w):
+        s, total = w[: toxicity.STEM], size[y]
+        d = toxicity.STEM_DISCOUNT * grow[y]
+        ps = max(stem[y][s] - d, 0) / total + sum(min(k, d) for k in stem[y].values()) / total * stem_both[s] / (sum(both.values()) + 1)
+        d = toxicity.WORD_DISCOUNT * grow[y]
+        pw = max(word[y][w] - d, 0) / total + sum(min(k, d) for k in word[y].values()) / total * ps * both[w] / (stem_both[s] + 1)
+        after = [k for (x, _), k in n[y].items() if x == v]
+        if not after:
+            return pw
+        d = toxicity.BIGRAM_DISCOUNT
+        return max(n[y].get((v, w), 0) - d, 0) / sum(after) + sum(min(k, d) for k in after) / sum(after) * pw
+
+    return lambda v, w: math.log(p(1, v, w) / p(0, v, w))
+
+
+@pytest.mark.parametrize("head", [toxicity.HEAD, 5])
+def test_ratios_equal_brute_force(spark, monkeypatch, head):
+    """On a small vocabulary, where all levels have counts beyond their discounts."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rng = random.Random(9)
+    few = "the of ation ating her hero hers on onto wall walled green greens paper night sever idiot scum".split()
+    rows = []
+    for k in range(160):
+        bad = int(k % 4 == 0)
+        rows.append((k, rng.choices(few if bad else few[:-2], k=rng.randint(5, 60)), bad))
+    labelled = spark.createDataFrame([(" ".join(w), y, 0) for _, w, y in rows], "t string, y int, late int")
+    counts = toxicity.count_bigrams(labelled).select("v", "w", F.bit_count("toxic0").alias("toxic"), F.bit_count("ordinary0").alias("ordinary"))
+    model = toxicity.build_model(counts)
+    assert model.entries.filter("name not like '\\0%'").count() > 20
+    ratio = brute_kneser_ney([(w, y) for _, w, y in rows])
+    texts = documents(spark, [(k, " ".join(w)) for k, w, _ in rows])
+    for r in toxicity.evidence(texts, model, "doc_id").collect():
+        words = rows[r.k][1]
+        x = [ratio(v, w) for v, w in zip(["", *words], words, strict=False)]
+        over = [max(v - toxicity.EXCESS, 0) for v in x]
+        halves = [sum(over[a : a + toxicity.HALF]) for a in range(0, len(over), toxicity.HALF)] + [0]
+        window = max(a + b for a, b in zip(halves, halves[1:], strict=False)) / (2 * toxicity.HALF)
+        expected = [np.mean(x), math.log1p(toxicity.SCALE * np.mean(over)), math.log1p(toxicity.SCALE * window), math.log1p(len(x))]
+        assert [r[f] for f in toxicity.FEATURES] == pytest.approx(expected, abs=1e-6) and r.ratio == pytest.approx(np.mean(x), abs=1e-8)
+
+
 def test_toxicity_on_awkward_rows(spark, toxic):
     docs, labels, _ = toxic
     model = fit_toxicity(docs, labels)
