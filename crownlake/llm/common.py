@@ -16,15 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed as checkpointed
+from ..plans.lineage import shared_folder
 
 _SHIPPED = "_crownlake_shipped"
 
 
+#: Most rows and bytes of an Arrow batch, as rows may be long texts.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that workers can import it."""
-    # rows may be long texts
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Send this package to the executors once per context, so that workers can import it.
+
+    Arrow batches of the session become smaller, if they were larger: the setting is read when a result is
+    computed, after the operator has returned, so it can't be put back. Smaller ones are left as they are.
+    """
+    for name, most in _BATCH.items():
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return
@@ -104,9 +114,7 @@ def stored(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    sc = spark.sparkContext
-    to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="crownlake-stored")
-    path = f"{to.rstrip('/')}/crownlake-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/crownlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
