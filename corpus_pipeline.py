@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crownlake.llm.common import stored, table
+from crownlake.llm.common import drop_stored, stored, table
 from crownlake.llm.jaccard_join import one_of_each_group
 from crownlake.llm.packing import pack, token_pieces
 from crownlake.llm.queries import tokenizer_file
@@ -49,6 +49,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir))
+        if n:
+            drop_stored(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
