@@ -2,18 +2,22 @@
 
 The pieces of a model span a lattice over a text; a path is a segmentation with probability
 proportional to exp(theta * sum of its piece scores). As no piece of the model goes beyond a word, the
-lattice of a text is a chain of word lattices. Distinct segmentations come by perturbed search: a
-set of paths (a lattice node with a prefix) carries the Gumbel maximum of its members; popping the
-highest set in an A* order splits it by its next piece, each part with a Gumbel conditioned on the
-parent's maximum, until whole paths come out. The j-th that comes out has the j-th largest perturbed
-log-probability, so the first k are a sample without replacement. The exact log-normaliser behind a node
-(its backward sum) is the heuristic, so no set is opened in vain.
+lattice of a text is a chain of word lattices. Distinct segmentations come by perturbed A* search over sets of
+paths: a set is all paths that share their first words and then have none of some given segmentations of the
+next word. Each set carries the Gumbel maximum of its members; the heuristic is exact, as the
+log-normaliser behind each node (its backward sum) is known. The highest set is opened: the path that attains its
+maximum is drawn piece by piece and comes out, and the other members of the set are split by the first word in which
+they leave that path; each of these sets gets a Gumbel of its own mass below the opened set's maximum. The j-th path
+that comes out has the j-th largest perturbed log-probability, so the first k are a sample without
+replacement. Every set has its Gumbel drawn; only sets that are not among the k + 1 highest are forgotten, as each holds
+one path at least and so can't be reached.
 
 The inclusion score of a sampled path, given the perturbed value G of the (k+1)-th, is
 1 - exp(-exp(log p - G)), the probability that it is among the first k.
 
-Gumbels come from a counter-based generator keyed by the seed and the row's key, so a row's result is the
-same wherever and whenever it is computed.
+Random numbers are hashes of the seed, the row's key and their place in the search, so a row's result is the
+same wherever, whenever and beside whatever rows it is computed. The lattices of the words of many rows are
+built and walked together in numpy; memory is about a hundred times the text of a batch or of its only row.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,73 +35,237 @@ from pyspark.sql import functions as F
 
 from .common import ship, sliced
 
-#: Words whose lattices a worker remembers.
-CACHED_WORDS = 100_000
-#: Log-probability of a set below which its further branches can't come among the first k, save with a chance
-#: of about e**RARE times a few, so that the rest of its best path is drawn piece by piece.
-RARE = -45.0
+#: Bytes of text that are worked on at once.
+BATCH_BYTES = 1 << 20
 SPACE = "▁"
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_U = np.uint64
+_BASE, _STEP, _TURN = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
 
 
-class Lattice:
-    """The lattice of one word: for each place, pieces that begin there as (end, id, score), and log sums to the end."""
-
-    __slots__ = ("arcs", "log_z", "shares", "size")
-
-    def __init__(self, word: str, pieces: dict[str, tuple[int, float]], longest: int, byte_ids: list[int], byte_score: float, theta: float):
-        n = len(word)
-        self.size = n
-        self.arcs: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n)]
-        self.log_z = [-math.inf] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            arcs = self.arcs[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = pieces.get(word[i:j])
-                if found is not None:
-                    arcs.append((j, (found[0],), theta * found[1]))
-            if word[i] not in pieces:  # a character without a piece goes by its bytes
-                raw = word[i].encode("utf-8", "surrogatepass")
-                arcs.append((i + 1, tuple(byte_ids[b] for b in raw), theta * byte_score * len(raw)))
-            top = max(w + self.log_z[j] for j, _, w in arcs)
-            self.log_z[i] = top + math.log(sum(math.exp(w + self.log_z[j] - top) for j, _, w in arcs))
-        self.shares: list[list[float] | None] = [None] * n
-
-    def cumulative(self, i: int) -> list[float]:
-        """Limits between the shares that the pieces at a place have of the paths from it."""
-        found = self.shares[i]
-        if found is None:
-            z = self.log_z
-            found = self.shares[i] = list(accumulate(math.exp(w + z[j] - z[i]) for j, _, w in self.arcs[i][:-1]))
-        return found
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on each other."""
+    x = x ^ (x >> _U(30))
+    x = x * _U(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> _U(27))
+    x = x * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from hashes."""
+    return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _times(odd: np.uint64, n: int) -> np.uint64:
+    return _U(int(odd) * n & (1 << 64) - 1)
+
+
+def _hashes(state: np.ndarray, turn: int, place: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(state + _times(_TURN, turn + 1)) ^ (place.astype(np.uint64) * _BASE + _U(1)))
 
 
 class Draws:
-    """A stream of Gumbel numbers from seed and key (counter-based, so the same everywhere)."""
+    """The random numbers of one row: ``state`` is a hash of seed and key."""
 
     def __init__(self, seed: int, key: str):
-        base = hashlib.blake2b(f"{seed}:{key}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        self.random = np.random.Generator(np.random.Philox(key=int.from_bytes(base, "little")))
-        self.block: list[float] = []
-        self.uniforms: list[float] = []
+        self.state = int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-    def uniform(self) -> float:
-        if not self.uniforms:
-            self.uniforms = self.random.random(512).tolist()
-        return self.uniforms.pop()
+    def at(self, turn: int, place: np.ndarray) -> np.ndarray:
+        """Hashes for places of a turn of the search."""
+        return _hashes(np.array([self.state], np.uint64), turn, place)
 
-    def gumbel(self) -> float:
-        if not self.block:
-            u = np.maximum(self.random.random(128), 2.0**-60)
-            self.block = (-np.log(-np.log(u))).tolist()
-        return self.block.pop()
+
+class Lattices:
+    """The lattices of different words in flat arrays.
+
+    Node 0 is the end of each word; the others are ordered by their distance to it, so that backward sums go
+    through them in order. Arcs are ordered by node: their target, token (a piece, or -1 - its code point for a
+    character that goes by its bytes), score, log share of the paths from the node, and cumulative share in the node.
+    """
+
+    def __init__(self, words: Sequence[str], model: Sampler):
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(n), size)
+        first = np.cumsum(size) - size
+        far = np.repeat(size, size) - (np.arange(len(code)) - np.repeat(first, size))  # distance to the end
+        number = np.empty(len(code), np.int64)
+        number[np.argsort(far, kind="stable")] = np.arange(1, len(code) + 1)
+        self.start = number[first] if n else np.zeros(0, np.int64)
+        # pieces from each place, by growing prefixes
+        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        src, dst, token, score = [], [], [], []
+        length = 0
+        after = np.append(number, 0)
+        while len(at):
+            h = h * _BASE + code[at + length].astype(np.uint64) + _U(1)
+            length += 1
+            hit, piece = model.find(h)
+            good = piece >= 0
+            ends = far[at[good]] == length
+            src.append(number[at[good]])
+            dst.append(np.where(ends, 0, after[np.minimum(at[good] + length, len(code))]))
+            token.append(piece[good])
+            score.append(model.weight[piece[good]])
+            if length == 1:
+                alone = at[~good]  # no piece: goes by its bytes
+                src.append(number[alone])
+                dst.append(np.where(far[alone] == 1, 0, after[np.minimum(alone + 1, len(code))]))
+                c = code[alone].astype(np.int64)
+                token.append(-1 - c)
+                score.append(model.theta * model.byte_score * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
+            on = hit & (far[at] > length)
+            at, h = at[on], h[on]
+        src, dst, token, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, token, score))
+        order = np.lexsort((token, src))
+        src, self.dst, self.token, self.score = src[order], dst[order], token[order], score[order].astype(np.float64)
+        self.begin = np.searchsorted(src, np.arange(len(code) + 2)) if len(code) else np.zeros(2, np.int64)
+        self.degree = np.diff(self.begin)
+        self.z = np.zeros(len(code) + 1)
+        limits = np.concatenate([[1], 1 + np.cumsum(np.bincount(far, minlength=1)[1:])]) if len(code) else [1]
+        for a, b in zip(limits, limits[1:], strict=False):
+            self.z[a:b] = self._sums(int(a), int(b))
+        value = self.score + self.z[self.dst] - self.z[src]
+        # where one share is nearly 1, its log comes from the others
+        share = np.exp(value)
+        if len(share):
+            heads = self.begin[1:-1]
+            most = np.repeat(np.maximum.reduceat(value, heads), self.degree[1:])
+            top = value == most
+            rest = np.repeat(np.add.reduceat(np.where(top, 0.0, share), heads), self.degree[1:])
+            only = np.repeat(np.add.reduceat(top.astype(np.int64), heads), self.degree[1:]) == 1
+            value = np.where(top & only, np.log1p(-np.minimum(rest, 0.999)), np.minimum(value, 0.0)) if len(rest) else value
+            value = np.where(top & only & (rest > 0.9), self.score + self.z[self.dst] - self.z[src], value)
+        self.log_share = value
+        self.cumulative = share
+        rank = np.arange(len(src)) - self.begin[src] if len(src) else np.zeros(0, np.int64)
+        for k in range(1, int(rank.max(initial=0)) + 1):
+            own = np.flatnonzero(rank == k)
+            self.cumulative[own] += self.cumulative[own - 1]
+
+    def _sums(self, a: int, b: int) -> np.ndarray:
+        """Log sums to the end from the nodes a to b, whose arcs lead to nodes before a."""
+        lo, hi = self.begin[a], self.begin[b]
+        value = self.score[lo:hi] + self.z[self.dst[lo:hi]]
+        heads = self.begin[a:b] - lo
+        top = np.maximum.reduceat(value, heads)
+        return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, self.degree[a:b])), heads))
+
+    def walk(self, word: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A path through each of ``word``, drawn by ``state``: the arcs of all paths, their numbers, their log shares."""
+        node, who, state = self.start[word], np.arange(len(word)), state
+        arcs, owners = [], []
+        step = 0
+        while len(node):
+            arc = self.begin[node]
+            more = np.flatnonzero(self.degree[node] > 1)
+            if len(more):
+                u = _uniform(_mixed(state[more] + _times(_STEP, step + 1)))
+                last = arc[more] + self.degree[node[more]] - 1
+                at = arc[more]
+                on = np.flatnonzero((u >= self.cumulative[at]) & (at < last))
+                while len(on):
+                    at[on] += 1
+                    on = on[(u[on] >= self.cumulative[at[on]]) & (at[on] < last[on])]
+                arc[more] = at
+            arcs.append(arc), owners.append(who)
+            node = self.dst[arc]
+            on = node > 0
+            if not on.all():
+                node, who, state = node[on], who[on], state[on]
+            step += 1
+        arcs, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (arcs, owners))
+        count = np.bincount(owners, minlength=len(word))
+        order = np.argsort(owners, kind="stable")
+        arcs = arcs[order]
+        heads = np.cumsum(count) - count
+        return arcs, count, np.add.reduceat(self.log_share[arcs], heads) if len(word) else np.zeros(0)
+
+    def without(self, word: int, gone: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[float]]:
+        """A trie of the paths ``gone`` through a word, and for each of its nodes the share of the paths on that are none of them."""
+        nodes, children = [int(self.start[word])], [{}]
+        for path in gone:
+            t = 0
+            for arc in path:
+                if arc not in children[t]:
+                    children[t][arc] = len(nodes)
+                    nodes.append(int(self.dst[arc])), children.append({})
+                t = children[t][arc]
+        left = [0.0] * len(nodes)
+        for t in range(len(nodes) - 1, -1, -1):
+            if nodes[t]:
+                arcs = range(self.begin[nodes[t]], self.begin[nodes[t] + 1])
+                left[t] = sum(math.exp(self.log_share[arc]) * (left[children[t][arc]] if arc in children[t] else 1.0) for arc in arcs)
+        return children, left
+
+    def other(self, word: int, gone: list[tuple[int, ...]], uniforms: Iterator[float]) -> list[int]:
+        """A path through a word that is none of ``gone``."""
+        children, left = self.without(word, gone)
+        node, t, out = int(self.start[word]), 0, []
+        while node:
+            arcs = range(self.begin[node], self.begin[node + 1])
+            below = [children[t].get(arc, -1) if t >= 0 else -1 for arc in arcs]
+            mass = [math.exp(self.log_share[arc]) * (left[b] if b >= 0 else 1.0) for arc, b in zip(arcs, below, strict=True)]
+            u, k = next(uniforms) * sum(mass), 0
+            last = max(n for n, m in enumerate(mass) if m)
+            while k < last and u >= mass[k]:
+                u -= mass[k]
+                k += 1
+            out.append(arcs[k])
+            node, t = int(self.dst[arcs[k]]), below[k]
+        return out
+
+
+class _Search:
+    """The search of one text: paths so far, and the highest sets that are still closed."""
+
+    __slots__ = ("draws", "heap", "number", "paths", "turn", "word")
+
+    def __init__(self, word: np.ndarray, draws: Draws):
+        self.word, self.draws = word, draws
+        self.paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # arcs, their numbers by word, log shares by word
+        first = -math.log(-math.log(float(_uniform(draws.at(0, np.zeros(1)))[0])))
+        # minus the Gumbel maximum, number, path whose first words are shared, how many, segmentations of the next word that are out
+        self.heap: list = [(-first, 0, -1, 0, [])]
+        self.number, self.turn = 1, 0
+
+    def emit(self, lattices: Lattices, opened, path: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> None:
+        """Put out the path of an opened set and split what is left of the set."""
+        high, _, _, w, gone = opened
+        arcs, count, share = path
+        self.turn += 1
+        own = len(self.paths)
+        self.paths.append(path)
+        before = np.cumsum(share) - share
+        with np.errstate(divide="ignore"):
+            mass = before[w:] + np.log(-np.expm1(share[w:]))
+        at = int(count[:w].sum())
+        now = [*gone, tuple(arcs[at : at + count[w]].tolist())]
+        if gone:
+            rest = lattices.without(int(self.word[w]), now)[1][0]
+            mass[0] = before[w] + math.log(rest) if rest > 0 else -math.inf
+        draw = -np.log(_uniform(self.draws.at(self.turn, np.arange(w, len(share)))))
+        with np.errstate(invalid="ignore"):
+            value = -np.logaddexp(high, np.log(draw) - mass)
+        value[np.isneginf(mass)] = -np.inf
+        keep = k + 1 - len(self.paths)
+        best = np.argpartition(-value, keep - 1)[:keep] if len(value) > keep else np.arange(len(value))
+        for n in np.sort(best).tolist():
+            if value[n] > -math.inf:
+                excluded = now if n == 0 else None
+                self.heap.append((-float(value[n]), self.number, own, w + n, excluded))
+                self.number += 1
+        self.heap = heapq.nsmallest(keep, self.heap)
 
 
 class Sampler:
-    """Samples over a SentencePiece model read from its file."""
+    """Samples over a SentencePiece model read from its file. ``span``: see ``sampled_segmentations``."""
 
-    _loaded: dict[tuple[str, float], Sampler] = {}
+    _loaded: dict[tuple[str, float, float], Sampler] = {}
 
-    def __init__(self, path: str, theta: float):
+    def __init__(self, path: str, theta: float, span: float = 10.0):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -107,25 +274,58 @@ class Sampler:
         size = m.get_piece_size()
         plain = [k for k in range(size) if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k) or m.is_unused(k))]
         names = {k: m.id_to_piece(k) for k in plain}
-        self.pieces = {names[k]: (k, m.get_score(k)) for k in plain}
-        self.longest = max(map(len, self.pieces), default=1)
+        if any(SPACE in p.lstrip(SPACE) for p in names.values()):
+            raise ValueError("pieces of this model go beyond a word")
         bytes_at = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.bytes = bytes_at if m.is_byte(bytes_at[0]) else [m.unk_id()] * 256
-        scores = [s for _, s in self.pieces.values()]
-        spread = max(scores) - min(scores) if scores else 1.0
-        # scores of BPE models are ranks; on this scale they act as log-probabilities
-        self.scale = 10.0 / spread if spread > 100 else 1.0
-        self.pieces = {p: (k, s * self.scale) for p, (k, s) in self.pieces.items()}
+        self.bytes = np.array(bytes_at if m.is_byte(bytes_at[0]) else [m.unk_id()] * 256, np.int32)
+        scores = np.array([m.get_score(k) for k in plain]) if plain else np.zeros(1)
+        whole = len(plain) > 2 and bool((scores == np.round(scores)).all())
+        if whole:
+            ranks = np.unique(-scores, return_inverse=True)[1]
+            scores = -span * ranks / max(1, ranks.max())
+        self.pieces = {names[k]: (k, float(s)) for k, s in zip(plain, scores, strict=False)}
         self.byte_score = min((s for _, s in self.pieces.values()), default=0.0) - 1.0
-        self.known: dict[str, Lattice] = {}
+        self.weight = np.zeros(size)
+        for k, s in self.pieces.values():
+            self.weight[k] = theta * s
+        # a table of all prefixes of pieces by hash: the piece, or -1
+        known: dict[int, int] = {}
+        for p, (k, _) in self.pieces.items():
+            h = 0
+            for n, c in enumerate(p, 1):
+                h = (h * int(_BASE) + ord(c) + 1) & (1 << 64) - 1
+                if n == len(p):
+                    known[h] = k
+                else:
+                    known.setdefault(h, -1)
+        keys = np.fromiter(known, np.uint64, len(known))
+        slot = _mixed(keys) >> _U(44)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = np.append(keys[order], _U(0)), np.append(np.fromiter(known.values(), np.int64, len(known))[order], -1)
+        self.slots = np.searchsorted(slot[order], np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int64)
 
     @classmethod
-    def load(cls, path: str, theta: float) -> Sampler:
-        key = (path, theta)
+    def load(cls, path: str, theta: float, span: float = 10.0) -> Sampler:
+        key = (path, theta, span)
         if key not in cls._loaded:
-            cls._loaded[key] = cls(path, theta)
+            cls._loaded[key] = cls(path, theta, span)
         return cls._loaded[key]
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether hashes are those of a prefix of a piece, and the piece (else -1)."""
+        slot = (_mixed(h) >> _U(44)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        hit, piece = np.zeros(len(h), bool), np.full(len(h), -1, np.int64)
+        on = np.flatnonzero(at < end)
+        while len(on):
+            same = self.keys[at[on]] == h[on]
+            hit[on[same]] = True
+            piece[on[same]] = self.values[at[on[same]]]
+            on = on[~same]
+            at[on] += 1
+            on = on[at[on] < end[on]]
+        return hit, piece
+
     def normalized(self, text: str) -> str:
         """The text as the model sees it, with its space mark."""
         out = self.model.normalize(text) if text else ""
@@ -133,130 +333,159 @@ class Sampler:
 
     def words(self, text: str) -> list[str]:
         """Parts that no piece goes beyond, in order: each begins at a space mark that follows another character."""
-        marked = self.normalized(text)
-        cuts = [0, *(k for k in range(1, len(marked)) if marked[k] == SPACE and marked[k - 1] != SPACE), len(marked)]
-        return [marked[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-
-    def lattice(self, word: str) -> Lattice:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            found = self.known[word] = Lattice(word, self.pieces, self.longest, self.bytes, self.byte_score, self.theta)
-        return found
-
-    def _walk(self, chain: list[Lattice], w: int, i: int, so_far: float, ids, draws: Draws):
-        """One path from a place to the end, each piece by its probability given the place."""
-        for at in range(w, len(chain)):
-            x = chain[at]
-            arcs, cumulative, size = x.arcs, x.cumulative, x.size
-            while i < size:
-                own = arcs[i]
-                j, more, score = own[0] if len(own) == 1 else own[bisect_right(cumulative(i), draws.uniform())]
-                so_far, ids, i = so_far + score, (ids, more), j
-            i = 0
-        return so_far, ids
+        return _WORD.findall(self.normalized(text))
+
+    def tokens(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of tokens (pieces, or -1 - code point), in one array, and the number of each one's ids."""
+        count = np.ones(len(token), np.int64)
+        raw = np.flatnonzero(token < 0)
+        if not len(raw):
+            return token.astype(np.int32), count
+        kinds, which = np.unique(token[raw], return_inverse=True)
+        spelled = [chr(-1 - t).encode("utf-8", "surrogatepass") for t in kinds.tolist()]
+        sizes = np.array([len(x) for x in spelled])
+        count[raw] = sizes[which]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        out[begin] = token
+        table = np.array([list(x.ljust(4, b"\0")) for x in spelled])
+        for n in range(4):
+            own = sizes[which] > n
+            out[begin[raw[own]] + n] = self.bytes[table[which[own], n]]
+        return out, count
+
+    def sample_all(self, texts: Sequence[str], k: int, draws: Sequence[Draws]) -> list[list[tuple[np.ndarray, float, float]]]:
+        """For each text at most k distinct segmentations: ids, log-probability, inclusion score; the likeliest draws first."""
+        number: dict[str, int] = {}
+        words = [np.array([number.setdefault(w, len(number)) for w in self.words(t)], np.int64) for t in texts]
+        lattices = Lattices(list(number), self)
+        searches = [_Search(w, d) for w, d in zip(words, draws, strict=True)]
+        for turn in range(1, k + 1):
+            todo = []
+            for s in searches:
+                if len(s.word) and s.heap:
+                    opened = heapq.nsmallest(1, s.heap)[0]
+                    s.heap.remove(opened)
+                    todo.append((s, opened))
+            if not todo:
+                break
+            # words up to the one with exclusions are known or drawn one by one, those behind it together
+            starts = [opened[3] + (1 if opened[4] != [] else 0) for _, opened in todo]
+            flat = np.concatenate([s.word[a:] for (s, _), a in zip(todo, starts, strict=True)])
+            behind = np.array([len(s.word) - a for (s, _), a in zip(todo, starts, strict=True)])
+            places = np.arange(len(flat)) - np.repeat(np.cumsum(behind) - behind - starts, behind)
+            state = _hashes(np.repeat(np.array([s.draws.state for s, _ in todo], np.uint64), behind), 1000 + turn, places)
+            arcs, count, share = lattices.walk(flat, state)
+            limits = np.concatenate([[0], np.cumsum(count)])
+            place = 0
+            for (s, opened), a in zip(todo, starts, strict=True):
+                high, n, parent, w, gone = opened
+                end = place + len(s.word) - a
+                tail = arcs[limits[place] : limits[end]], count[place:end], share[place:end]
+                if a == w:
+                    path = tail
+                else:
+                    before = s.paths[parent]
+                    at = int(before[1][:w].sum())
+                    if gone is None:
+                        gone = [tuple(before[0][at : at + before[1][w]].tolist())]
+                        opened = (high, n, parent, w, gone)
+                    uniforms = (float(_uniform(s.draws.at(2000 + turn, np.array([j])))[0]) for j in range(1 << 60))
+                    own = lattices.other(int(s.word[w]), gone, uniforms)
+                    own_share = float(lattices.log_share[own].sum())
+                    path = (np.concatenate([before[0][:at], own, tail[0]]), np.concatenate([before[1][:w], [len(own)], tail[1]]), np.concatenate([before[2][:w], [own_share], tail[2]]))
+                s.emit(lattices, opened, path, k)
+                place = end
+        arcs = [path[0] for s in searches for path in s.paths]
+        flat, count = self.tokens(lattices.token[np.concatenate(arcs)]) if arcs else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        limits = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(a) for a in arcs], dtype=np.int64)])].tolist()
+        out, place = [], 0
+        for s in searches:
+            if not len(s.word):
+                out.append([(np.zeros(0, np.int32), 0.0, 1.0)])
+                continue
+            bound = -min(s.heap)[0] if s.heap else -math.inf
+            own = []
+            for _, _, share in s.paths:
+                log_p = float(share.sum())
+                included = 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(log_p - bound, 30.0)))
+                own.append((flat[limits[place] : limits[place + 1]], log_p, included))
+                place += 1
+            out.append(own)
+        return out
 
     def sample(self, text: str, k: int, draws: Draws) -> list[tuple[list[int], float, float]]:
-        """At most k distinct segmentations: ids, log-probability, inclusion score; the likeliest draws first."""
-        chain = [self.lattice(w) for w in self.words(text)]
-        if not chain:
-            return [([], 0.0, 1.0)]
-        total = sum(x.log_z[0] for x in chain)
-        after = [0.0] * (len(chain) + 1)
-        for w in range(len(chain) - 1, -1, -1):
-            after[w] = after[w + 1] + chain[w].log_z[0]
-        # an entry: minus the Gumbel maximum, number, word, place, log-probability up to here, ids as a linked list
-        heap = [(-draws.gumbel(), 0, 0, 0, 0.0, None)]
-        numbers, out = 1, []
-        while heap and len(out) < k:
-            high, _, w, i, so_far, ids = heapq.heappop(heap)
-            goal = -high
-            # the branch with the set's maximum is followed; the other branches wait in the heap
-            while w < len(chain):
-                x = chain[w]
-                if i == x.size:
-                    w, i = w + 1, 0
-                    continue
-                arcs = x.arcs[i]
-                if len(arcs) == 1:
-                    i, more, score = arcs[0]
-                    so_far, ids = so_far + score, (ids, more)
-                    continue
-                rest = after[w + 1] - total
-                if so_far + x.log_z[i] + rest < RARE and len(heap) >= k - len(out):
-                    so_far, ids = self._walk(chain, w, i, so_far, ids, draws)
-                    break
-                g = [so_far + s + x.log_z[j] + rest + draws.gumbel() for j, _, s in arcs]
-                z = max(g)
-                best = g.index(z)
-                for n, value in enumerate(g):
-                    if n != best:
-                        j, more, score = arcs[n]
-                        v = goal - value + math.log1p(-math.exp(min(value - z, -1e-15)))
-                        cond = goal - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                        heapq.heappush(heap, (-cond, numbers, w, j, so_far + score, (ids, more)))
-                        numbers += 1
-                i, more, score = arcs[best]
-                so_far, ids = so_far + score, (ids, more)
-                if len(heap) > 8 * (k + 2) + 64:  # each set holds a path at least, so no more than these come out
-                    heap = heapq.nsmallest(k + 1 - len(out), heap)
-            out.append((ids, so_far - total))
-        bound = -heap[0][0] if heap else -math.inf
-        result = []
-        for ids, log_p in out:
-            parts = []
-            while ids is not None:
-                ids, more = ids
-                parts.append(more)
-            included = 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(log_p - bound, 30.0)))
-            result.append(([t for more in reversed(parts) for t in more], log_p, included))
-        return result
-
-
-def sampled_segmentations(rows: DataFrame, path: str, *, keys: list[str], text: str = "text", k: int = 3, theta: float = 1.0, seed: int = 17) -> DataFrame:
+        """``sample_all`` of one text."""
+        return [(ids.tolist(), log_p, included) for ids, log_p, included in self.sample_all([text], k, [draws])[0]]
+
+
+def sampled_segmentations(rows: DataFrame, path: str, *, keys: list[str], text: str = "text", k: int = 3, theta: float = 1.0, span: float = 10.0, seed: int = 17) -> DataFrame:
     """keys, rank (from 1), ids, log_prob, inclusion: up to ``k`` distinct segmentations of each row's text.
 
     Draws are seeded by the keys, so rows with the same keys and text get the same sample; null keys are a
     key like others. Null and empty texts have one segmentation, the empty one, with inclusion 1; a text with
     fewer than k segmentations has all of them, with inclusion 1. An empty table gives an empty result. Other
-    columns of ``rows`` are not read. Rows are independent; they are dealt round robin, as a row is work for
-    far longer than it takes to send.
+    columns of ``rows`` are not read. Scores of models whose scores are whole numbers are ranks, not
+    log-probabilities; their order is spread evenly over ``span`` nats.
     """
     ship(rows.sparkSession)
     own = [f"k{n}" for n in range(len(keys))]
     src = rows.select(*(F.col(c).alias(n) for c, n in zip(keys, own, strict=True)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    # the work is far larger than the texts, so these are dealt to all cores
-    src = src.repartition(max(src.rdd.getNumPartitions(), 4 * rows.sparkSession.sparkContext.defaultParallelism))
     names = [*own, "rank", "ids", "log_prob", "inclusion"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler.load(path, theta)
-        for batch in sliced(batches, "t", 256 << 10):
-            row, rank, ids, log_p, included = [], [], [], [], []
+        sampler = Sampler.load(path, theta, span)
+        for batch in sliced(batches, "t", BATCH_BYTES):
             key_rows = list(zip(*(batch.column(n).to_pylist() for n in range(len(own))), strict=True)) if own else [()] * batch.num_rows
-            for r, (key, t) in enumerate(zip(key_rows, batch.column(len(own)).to_pylist(), strict=True)):
-                for n, (path_ids, lp, inc) in enumerate(sampler.sample(t, k, Draws(seed, repr(key))), 1):
-                    row.append(r), rank.append(n), ids.append(path_ids), log_p.append(lp), included.append(inc)
+            found = sampler.sample_all(batch.column(len(own)).to_pylist(), k, [Draws(seed, repr(key)) for key in key_rows])
+            flat = [(r, n, *one) for r, many in enumerate(found) for n, one in enumerate(many, 1)]
+            row, rank, ids, log_p, included = zip(*flat, strict=True)
             at = pa.array(row, pa.int64())
-            yield pa.record_batch([*(batch.column(n).take(at) for n in range(len(own))), pa.array(rank, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(log_p, pa.float64()), pa.array(included, pa.float64())], names)
+            limits = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.record_batch([*(batch.column(n).take(at) for n in range(len(own))), pa.array(rank, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(included, pa.float64())], names)
 
     fields = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in own)
     out = src.mapInArrow(run, f"{fields + ', ' if fields else ''}rank int, ids array<int>, log_prob double, inclusion double")
     return out.toDF(*keys, "rank", "ids", "log_prob", "inclusion")
 
 
+def encode_text(rows: DataFrame, path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
+    """``rows`` with the ids that the library gives a text (its best segmentation); null texts are empty.
+
+    An ``out`` that is a column already is an error. An empty table gives an empty result.
+    """
+    return _mapped(rows, text, out, "array<int>", pa.list_(pa.int32()), lambda model, texts: model.encode([t or "" for t in texts]), path)
+
+
 def decode_ids(rows: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of an id column; null ids give null."""
+    """``rows`` with the text of an id column; null ids give null, null members are left out.
+
+    Ids that the model doesn't have, and an ``out`` that is a column already, are errors. An empty table gives an
+    empty result.
+    """
+
+    def decoded(model, lists):
+        known = [[i for i in v if i is not None] for v in lists if v is not None]
+        texts = iter(model.decode(known) if known else [])
+        return [None if v is None else next(texts) for v in lists]
+
+    return _mapped(rows, ids, out, "string", pa.string(), decoded, path)
+
+
+def _mapped(rows: DataFrame, column: str, out: str, kind: str, arrow, f, path: str) -> DataFrame:
+    if out in rows.columns:
+        raise ValueError(f"there is a column {out} already")
     ship(rows.sparkSession)
     names = [*rows.columns, out]
-    place = rows.columns.index(ids)
+    place = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Sampler.load(path, 1.0).model
         for batch in batches:
-            texts = [None if v is None else model.decode(v) for v in batch.column(place).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names)
+            for a in range(0, batch.num_rows, 64):  # as lists, ids take far more memory
+                part = batch.slice(a, 64)
+                yield pa.record_batch([*part.columns, pa.array(f(model, part.column(place).to_pylist()), arrow)], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, `{out}` string")
+    return rows.mapInArrow(run, f"{fields}, `{out}` {kind}")

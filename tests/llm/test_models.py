@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crownlake.llm import toxicity
 from crownlake.llm.queries import tokenizer_file
 from crownlake.llm.rule_ensemble import fit_quality, fit_rules, keep_quality, score_quality, text_statistics
-from crownlake.llm.sampling import Draws, Sampler, decode_ids, sampled_segmentations
+from crownlake.llm.sampling import Draws, Sampler, decode_ids, encode_text, sampled_segmentations
 from crownlake.llm.toxicity import calibrate, drop_toxic, fit_toxicity, score_toxicity
 
 #: As in real texts, a word stands after many different ones.
@@ -129,7 +129,7 @@ def brute_kneser_ney(rows):
     contexts = {y: {} for y in kinds}
     for words, y in rows:
         for u, v, w in zip(["", "", *words], ["", *words], words, strict=False):
-            contexts[y].setdefault((v, w), set()).add(zlib.crc32(u.encode()) % 63)
+            contexts[y].setdefault((v, w), set()).add(zlib.crc32(u.encode()) % toxicity.CONTEXTS)
     n = {y: {g: len(c) for g, c in contexts[y].items()} for y in kinds}
     grams = set(n[0]) | set(n[1])
     both = Counter(w for _, w in grams)
@@ -159,8 +159,8 @@ def brute_kneser_ney(rows):
     return lambda v, w: math.log(p(1, v, w) / p(0, v, w))
 
 
-@pytest.mark.parametrize("head", [toxicity.HEAD, 5])
-def test_ratios_equal_brute_force(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "late"), [(toxicity.HEAD, False), (5, True)])
+def test_ratios_equal_brute_force(spark, monkeypatch, head, late):
     """On a small vocabulary, where all levels have counts beyond their discounts."""
     monkeypatch.setattr(toxicity, "HEAD", head)
     rng = random.Random(9)
@@ -169,9 +169,9 @@ def test_ratios_equal_brute_force(spark, monkeypatch, head):
     for k in range(160):
         bad = int(k % 4 == 0)
         rows.append((k, rng.choices(few if bad else few[:-2], k=rng.randint(5, 60)), bad))
-    labelled = spark.createDataFrame([(" ".join(w), y, 0) for _, w, y in rows], "t string, y int, late int")
-    counts = toxicity.count_bigrams(labelled).select("v", "w", F.bit_count("toxic0").alias("toxic"), F.bit_count("ordinary0").alias("ordinary"))
-    model = toxicity.build_model(counts)
+    labelled = spark.createDataFrame([(" ".join(w), y, 0) for _, w, y in rows], "t string, y int, late int").withColumn("late", F.col("late") + (F.length("t") % 2 if late else F.lit(0)))
+    grams = toxicity.count_bigrams(labelled)
+    model = toxicity.build_model(grams, toxicity.count_words(grams), late)
     assert model.entries.filter("name not like '\\0%'").count() > 20
     ratio = brute_kneser_ney([(w, y) for _, w, y in rows])
     texts = documents(spark, [(k, " ".join(w)) for k, w, _ in rows])
@@ -205,18 +205,56 @@ def test_calibration_separates():
 # ---- sampled segmentations --------------------------------------------------------------------------
 
 
+def word_paths(sampler, word):
+    """All segmentations of a word and their probabilities, from the pieces alone."""
+    ends = [[((), 0.0)]] + [[] for _ in word]
+    for i in range(len(word)):
+        arcs = [(j, (sampler.pieces[word[i:j]][0],), sampler.theta * sampler.pieces[word[i:j]][1]) for j in range(i + 1, len(word) + 1) if word[i:j] in sampler.pieces]
+        if word[i] not in sampler.pieces:
+            raw = word[i].encode()
+            arcs.append((i + 1, tuple(int(sampler.bytes[b]) for b in raw), sampler.theta * sampler.byte_score * len(raw)))
+        for j, more, s in arcs:
+            ends[j] += [(p + more, lp + s) for p, lp in ends[i]]
+    total = math.log(sum(math.exp(lp) for _, lp in ends[-1]))
+    return {p: math.exp(lp - total) for p, lp in ends[-1]}
+
+
 def paths(sampler, text):
     """All segmentations and their probabilities."""
-    out = [((), 0.0)]
+    out = {(): 1.0}
     for word in sampler.words(text):
-        lattice = sampler.lattice(word)
-        ends = [[((), 0.0)]] + [[] for _ in range(lattice.size)]
-        for i in range(lattice.size):
-            for j, more, s in lattice.arcs[i]:
-                ends[j] += [(p + more, lp + s) for p, lp in ends[i]]
-        out = [(p + q, a + b) for p, a in out for q, b in ends[-1]]
-    total = math.log(sum(math.exp(lp) for _, lp in out))
-    return {p: math.exp(lp - total) for p, lp in out}
+        out = {p + q: a * b for p, a in out.items() for q, b in word_paths(sampler, word).items()}
+    return out
+
+
+def test_long_texts_follow_the_model():
+    """500 characters, whose segmentations have probabilities far below e**-45: each of the k has the model's words."""
+    sampler = Sampler(tokenizer_file("piece_bpe_32k.model"), 0.5)
+    text = " ".join("tionhe wasand theing 日本 lyer oning".split() * 16)
+    words = sampler.words(text)
+    exact = {w: word_paths(sampler, w) for w in set(words)}
+    n, k = 150, 3
+    seen = [Counter() for _ in range(k)]
+    for got in sampler.sample_all([text] * n, k, [Draws(seed, "long") for seed in range(n)]):
+        assert len({i.tobytes() for i, _, _ in got}) == k and max(lp for _, lp, _ in got) < -45
+        for turn, (ids, log_p, inclusion) in enumerate(got):
+            assert 0 < inclusion <= 1
+            ids, at, total = tuple(ids.tolist()), 0, 0.0
+            for w in words:  # the word's segmentation is the one that the ids go on with and that spells it
+                size = next(m for m in range(1, len(ids) - at + 1) if ids[at : at + m] in exact[w])
+                seen[turn][w, ids[at : at + size]] += 1
+                total += math.log(exact[w][ids[at : at + size]])
+                at += size
+            assert at == len(ids) and total == pytest.approx(log_p, rel=1e-9)
+    for counts in seen:
+        chi, free = 0.0, 0
+        for w, share in exact.items():
+            size = n * words.count(w)
+            cells = [(counts[w, p], size * q) for p, q in share.items() if size * q >= 5]
+            cells.append((size - sum(c for c, _ in cells), size - sum(e for _, e in cells)))
+            chi += sum((c - e) ** 2 / e for c, e in cells if e > 1)
+            free += sum(e > 1 for _, e in cells) - 1
+        assert chi < free + 5 * math.sqrt(2 * free)
 
 
 def test_sampling_follows_the_model():
@@ -239,6 +277,28 @@ def test_sampling_follows_the_model():
     assert {tuple(i) for i, _, _ in everything} == set(paths(sampler, "ab")) and all(inc == 1 for _, _, inc in everything)
 
 
+def test_likely_paths_come_in_the_order_of_their_sampling():
+    """With one segmentation near probability 1, the others still come out, all of them, each once."""
+    sampler = Sampler(tokenizer_file("piece_bpe_32k.model"), 8.0)
+    for text in ("the", "and the", "é日x"):
+        exact = paths(sampler, text)
+        got = sampler.sample(text, len(exact) + 5, Draws(3, text))
+        assert {tuple(i) for i, _, _ in got} == set(exact) and len(got) == len(exact)
+        assert [math.exp(lp) for _, lp, _ in got] == pytest.approx([exact[tuple(i)] for i, _, _ in got], rel=1e-6)
+
+
+def test_plain_encoding_and_decoding(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = Sampler(path, 1.0).model
+    got = decode_ids(encode_text(documents(spark), path), path).collect()
+    assert ids(got) == ids(ROWS) and all(r.ids == model.encode(r.text or "") and r.decoded == model.decode(r.ids) for r in got)
+    assert decode_ids(encode_text(documents(spark, []), path), path).count() == 0
+    odd = spark.createDataFrame([(None,), ([],), ([264, None],)], "ids array<int>")
+    assert [r.decoded for r in decode_ids(odd, path).collect()] == [None, "", model.decode([264])]
+    with pytest.raises(ValueError, match="decoded"):
+        decode_ids(odd.selectExpr("ids", "1 as decoded"), path)
+
+
 def test_samples_decode_to_the_text(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     rows = [(k, t) for k, t in ROWS if t is None or len(t) < 6000]
