@@ -55,30 +55,37 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, most: int = 30) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust) over edges (src, dst, pages).
 
-    trust = (1 - damping) * seed + damping * inflow along links, each host passing its rank on in
-    proportion to ``pages``; distrust the same against the links. It stops when no rank moves by more
-    than ``tolerance`` in sum, or after ``most`` rounds.
+    Two personalised PageRanks, each of mass 1: seeds are normalised to shares s, and
+    rank = (1 - damping) * s + damping * (inflow + lost * s), where inflow goes along links (for distrust
+    against them), each host passing its rank on in proportion to ``pages``, and lost is the rank of hosts without
+    such links. What a round moves shrinks by ``damping`` at least, so rounds end by themselves: when the ranks move
+    by ``tolerance`` of their mass or less in sum. A kind without seeds has rank 0 everywhere.
     """
-    split = lambda kind, a, b: edges.select(F.lit(kind).alias("kind"), F.col(a).alias("frm"), F.col(b).alias("to"), "pages")
-    out = edges.groupBy("src").agg(F.sum("pages").alias("all"))
-    back = edges.groupBy("dst").agg(F.sum("pages").alias("all"))
-    arcs = split("trust", "src", "dst").join(out.withColumnRenamed("src", "frm"), "frm").unionByName(split("distrust", "dst", "src").join(back.withColumnRenamed("dst", "frm"), "frm"))
-    arcs = checkpointed(arcs.select("kind", "frm", "to", (F.col("pages") / F.col("all")).alias("w")))
+    c = F.col
+    split = lambda kind, a, b: edges.select(F.lit(kind).alias("kind"), c(a).alias("frm"), c(b).alias("to"), "pages")
+    arcs = split("trust", "src", "dst").unionByName(split("distrust", "dst", "src"))
+    out = arcs.groupBy("kind", "frm").agg(F.sum("pages").alias("all"))
+    arcs = checkpointed(arcs.join(out, ["kind", "frm"]).select("kind", "frm", "to", (c("pages") / c("all")).alias("w")))
     seed = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed"))
-    hosts = seed.unionByName(arcs.select(F.col("to").alias("host"), "kind", F.lit(0.0).alias("seed")))
-    rank = checkpointed(hosts.groupBy("kind", "host").agg(F.sum("seed").alias("seed")).withColumn("rank", F.col("seed") * (1 - damping)))
-    if not arcs.isEmpty():
-        for _ in range(most):
-            inflow = arcs.join(rank.select("kind", F.col("host").alias("frm"), "rank"), ["kind", "frm"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("w") * F.col("rank")).alias("inflow"))
-            new = F.col("seed") * (1 - damping) + F.coalesce(F.col("inflow"), F.lit(0.0)) * damping
-            moved = checkpointed(rank.join(inflow, ["kind", "host"], "left").select("kind", "host", "seed", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
-            rank = moved.drop("moved")
-            if (moved.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance:
-                break
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    sums = seed.groupBy("kind").agg(F.sum("seed").alias("mass"))
+    hosts = seed.unionByName(arcs.select(c("to").alias("host"), "kind", F.lit(0.0).alias("seed"))).unionByName(arcs.select(c("frm").alias("host"), "kind", F.lit(0.0).alias("seed")))
+    hosts = hosts.groupBy("kind", "host").agg(F.sum("seed").alias("seed")).join(F.broadcast(sums), "kind")
+    ends = hosts.join(out.select("kind", c("frm").alias("host"), F.lit(False).alias("ends")), ["kind", "host"], "left")
+    share = F.when(c("mass") > 0, c("seed") / c("mass")).otherwise(0.0)
+    rank = checkpointed(ends.select("kind", "host", share.alias("seed"), F.coalesce("ends", F.lit(True)).alias("ends"), share.alias("rank")))
+    while not arcs.isEmpty():
+        lost = rank.groupBy("kind").agg(F.sum(F.when(c("ends"), c("rank")).otherwise(0.0)).alias("lost"))
+        inflow = arcs.join(rank.select("kind", c("host").alias("frm"), "rank"), ["kind", "frm"]).groupBy("kind", c("to").alias("host")).agg(F.sum(c("w") * c("rank")).alias("inflow"))
+        new = c("seed") * (1 - damping + damping * c("lost")) + F.coalesce("inflow", F.lit(0.0)) * damping
+        moved = rank.join(F.broadcast(lost), "kind").join(inflow, ["kind", "host"], "left")
+        moved = checkpointed(moved.select("kind", "host", "seed", "ends", new.alias("rank"), F.abs(new - c("rank")).alias("moved")))
+        rank = moved.drop("moved")
+        if (moved.groupBy("kind").agg(F.sum("moved").alias("m")).agg(F.max("m")).first()[0] or 0.0) <= tolerance:
+            break
+    of = lambda kind: F.sum(F.when(c("kind") == kind, c("rank")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
@@ -90,15 +97,18 @@ def filter_urls(
 
     The verdict is the rule's; without one, ``block`` if distrust / (trust + distrust) of the host is
     over ``threshold``; a host that neither reaches (an empty host too) gets ``otherwise``. A host's
-    seeds are the shares of its pages that rules allow and block. Null urls have an empty host and
+    seeds are the shares of its pages that rules allow and block; ranks are scaled to the sums of the seeds. Null urls have an empty host and
     path; null html has no links; repeated rows keep their rows and count as pages; an empty table
     gives an empty result. Other columns of ``pages`` are not read.
     """
     host, path = url_parts(F.col(url))
     judged = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path")).select("*", *(c.alias(n) for c, n in zip(rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules), ("rule", "ruled"), strict=True)))
     share = lambda kind: F.avg(F.when(F.col("ruled") == kind, 1.0).otherwise(0.0))
-    seeds = judged.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = checkpointed(propagate(seeds, host_edges(pages, url=url, html=html), damping=damping))
+    seeds = checkpointed(judged.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")))
+    # each kind has as much rank as it has seeds, so that a host without links keeps the balance of its own pages
+    masses = seeds.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in ("trust", "distrust"))).first()
+    ranks = propagate(seeds, host_edges(pages, url=url, html=html), damping=damping)
+    scores = checkpointed(ranks.select("host", *((F.col(x) * m).alias(x) for x, m in zip(("trust", "distrust"), masses, strict=True))))
     mass = F.col("trust") + F.col("distrust")
     ruling = F.when(mass > 0, F.when(F.col("distrust") / mass > threshold, "block").otherwise("allow")).otherwise(F.lit(otherwise))
     scores = scores.select("host", "trust", "distrust", ruling.alias("host_verdict"))
