@@ -328,9 +328,9 @@ def labeled_filenames(spark, sf_dir):
     return L.labelled_names(rows)
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 60), '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM documents")
 def safe_filenames(spark, sf_dir):
-    return A.read(spark, sf_dir, "documents").select("doc_id", L.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return A.read(spark, sf_dir, "documents").select("doc_id", L.safe_name(F.col("text")).alias("name"))
 
 
 @query("SELECT radius, count(*) FILTER (n = 1) AS perfect, round(count(*) FILTER (n = 1)/count(*), 6) AS score FROM (SELECT radius, g.gps_id, count(t.file) AS n FROM (VALUES (0.10::DOUBLE), (0.15::DOUBLE)) r(radius) CROSS JOIN v_gps g LEFT JOIN v_centres t ON sqrt((gx-x_pos)*(gx-x_pos)+(gy-y_pos)*(gy-y_pos)) <= radius GROUP BY 1, 2) GROUP BY 1")
