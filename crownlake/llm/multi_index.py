@@ -9,8 +9,8 @@ wanted share of true neighbours lies within it; as neighbours in all rows are ne
 it errs to the safe side.
 
 Scale: rows are dealt to index blocks by hash, queries to query blocks; each pair of blocks is one task
-of bounded size, and gives its best ``k`` per query. Where the radius holds fewer than ``k``, the
-block is scanned exactly.
+of bounded size, and gives its best ``k`` per query. Where the radius holds fewer than ``k`` of a
+block, it grows until it does or holds the whole block.
 """
 
 from __future__ import annotations
@@ -158,10 +158,13 @@ def nearest(
             y, qids = _matrix(right["v"]), right["id"].to_numpy()
             index, codes = MultiIndex(code.words(x)), code.words(y, True)
             for q, qid, c in zip(y, qids, codes, strict=True):
-                rows = index.probe(c, code.radius)
+                radius = code.radius
+                rows = index.probe(c, radius)
                 rows = rows[ids[rows] != qid]
-                if len(rows) < k:
-                    rows = np.flatnonzero(ids != qid)
+                while len(rows) < k and radius < WORD * len(c):  # the radius grows by a bit a word, up to all rows
+                    radius += len(c)
+                    rows = index.probe(c, radius)
+                    rows = rows[ids[rows] != qid]
                 near = x[rows] @ q
                 if len(rows) > k:  # a little more than k, as the sum below may round otherwise
                     keep = near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(near).max())
