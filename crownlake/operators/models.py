@@ -13,9 +13,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
+
 c = F.col
-#: Most rows of a training set or graph that is held as one matrix.
-MATRIX_ROWS = 20_000
+#: Most training rows that are broadcast, most rows of a graph that is held as one matrix, rows of a block beyond these.
+BROADCAST_ROWS, DENSE_ROWS, BLOCK_ROWS = 20_000, 4_096, 2_048
 
 
 def labelled(features: DataFrame, labels: DataFrame, key: str = "file", name: str = "Name") -> DataFrame:
@@ -92,47 +94,88 @@ def soft_vote(rows: DataFrame, columns: list[str], weights: list[float], out: st
     return rows.withColumn(out, mean)
 
 
-def _matrix(df: DataFrame, names: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
-    pdf = df.limit(MATRIX_ROWS + 1).toPandas()
-    if len(pdf) > MATRIX_ROWS:
-        raise ValueError(f"more than {MATRIX_ROWS} rows in a matrix")
-    return pdf, pdf[names].to_numpy(float)
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with ``_id``, a number of their own that a checkpoint fixes (keys may repeat)."""
+    return checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, run, schema: str, blocks: tuple[int, int]) -> DataFrame:
+    """``run`` on each block of ``left`` with each block of ``right``; rows are dealt to blocks by a hash of ``_id``."""
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("_i", own(blocks[0])).withColumn("_j", every(blocks[1]))
+    b = right.withColumn("_j", own(blocks[1])).withColumn("_i", every(blocks[0]))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(run, schema)
+
+
+def _blocks_of(*sides: DataFrame) -> tuple[int, ...]:
+    return tuple(max(1, -(-side.count() // BLOCK_ROWS)) for side in sides)
 
 
 def knn_vote(train: DataFrame, rows: DataFrame, names: list[str], label: str, key: str, k: int = 5) -> DataFrame:
     """key, predicted: the most frequent label of the k nearest training rows (ties to the smaller label;
-    equal distances to the smaller key). Training rows are broadcast, MATRIX_ROWS at most."""
-    pdf, x = _matrix(train.select(key, label, *names).orderBy(key), names)
+    equal distances to the smaller key). BROADCAST_ROWS training rows at most are broadcast; more are met in
+    blocks, each of which gives its k nearest, with the same result."""
+    kinds = {n: train.schema[n].dataType.simpleString() for n in (label, key)}
+    if train.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        known, asked = _dealt(train.select(c(key).alias("_key"), c(label).alias("_label"), *names)), _dealt(rows.select(key, *names))
+
+        def near(y: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            x = x.sort_values(["_key", "_id"])
+            p, q, out = y[names].to_numpy(float), x[names].to_numpy(float), []
+            for i in range(len(p)):
+                d = ((p[i] - q) ** 2).sum(axis=1)
+                best = np.argsort(d, kind="stable")[:k]
+                out.append(x.iloc[best][["_key", "_label"]].assign(_other=x["_id"].to_numpy()[best], _id=y["_id"].iloc[i], _d=d[best]))
+            empty = pd.DataFrame(columns=["_id", "_d", "_key", "_other", "_label"])
+            return pd.concat(out)[list(empty)] if out else empty
+
+        found = _in_blocks(asked, known, near, f"_id long, _d double, _key {kinds[key]}, _other long, _label {kinds[label]}", _blocks_of(asked, known))
+        order = Window.partitionBy("_id").orderBy(c("_d").asc_nulls_last(), "_key", "_other")
+        votes = found.withColumn("_r", F.row_number().over(order)).filter(c("_r") <= k).groupBy("_id", "_label").agg(F.count("*").alias("_n"))
+        most = votes.groupBy("_id").agg(F.min(F.struct((-c("_n")).alias("n"), "_label")).alias("_most"))
+        return asked.join(most, "_id").select(key, c("_most._label").alias("predicted"))
+
+    pdf = train.select(key, label, *names).orderBy(key).toPandas()
     values, codes = np.unique(pdf[label].to_numpy(), return_inverse=True)
-    shared = rows.sparkSession.sparkContext.broadcast((x, codes, len(values)))
+    shared = rows.sparkSession.sparkContext.broadcast((pdf[names].to_numpy(float), codes, len(values)))
 
     def vote(parts):
         x, codes, m = shared.value
+        step = max(1, (1 << 20) // max(len(x), 1))
         for part in parts:
             y, out = part[names].to_numpy(float), []
-            for a in range(0, len(y), 256):
-                d = ((y[a : a + 256, None, :] - x[None]) ** 2).sum(axis=2)
+            for a in range(0, len(y), step):
+                d = ((y[a : a + step, None, :] - x[None]) ** 2).sum(axis=2)
                 near = np.argsort(d, axis=1, kind="stable")[:, :k]
                 out += [int(np.argmax(np.bincount(codes[row], minlength=m))) for row in near]
             yield pd.DataFrame({key: part[key].to_numpy(), "predicted": values[out] if out else values[:0]})
 
-    return rows.select(key, *names).mapInPandas(vote, f"{key} {rows.schema[key].dataType.simpleString()}, predicted {train.schema[label].dataType.simpleString()}")
+    return rows.select(key, *names).mapInPandas(vote, f"{key} {rows.schema[key].dataType.simpleString()}, predicted {kinds[label]}")
 
 
 def class_neighbours(rows: DataFrame, names: list[str], label: str, key: str, k: int) -> DataFrame:
-    """label, key, rank, neighbour: the k nearest other rows of the same class (ties to the smaller key)."""
-    kinds = {n: rows.schema[n].dataType.simpleString() for n in (label, key)}
+    """label, key, rank, neighbour: the k nearest other rows of the same class (ties to the smaller key).
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x, ids, out = pdf[names].to_numpy(float), pdf[key].to_numpy(), []
-        for i in range(len(x)):
-            d = ((x - x[i]) ** 2).sum(axis=1)
-            d[i] = np.inf
-            out += [(pdf[label].iloc[0], ids[i], r + 1, ids[j]) for r, j in enumerate(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])]
-        return pd.DataFrame(out, columns=[label, key, "rank", "neighbour"])
+    Blocks of rows meet, whatever the size of a class; each pair of blocks gives its k nearest."""
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = _dealt(rows.select(c(label).alias("_label"), c(key).alias("_key"), *names))
+
+    def near(y: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["_key", "_id"])
+        codes = pd.factorize(pd.concat([y["_label"], x["_label"]]))[0]
+        own, others = codes[: len(y)], codes[len(y) :]
+        p, q, ids, keys, out = y[names].to_numpy(float), x[names].to_numpy(float), x["_id"].to_numpy(), x["_key"].to_numpy(), []
+        for i, me in enumerate(y["_id"]):
+            at = np.flatnonzero((others == own[i]) & (ids != me))
+            d = ((q[at] - p[i]) ** 2).sum(axis=1)
+            out += [(me, d[j], keys[at[j]], ids[at[j]]) for j in np.argsort(d, kind="stable")[:k]]
+        return pd.DataFrame(out, columns=["_id", "_d", "neighbour", "_other"])
 
-    return rows.select(label, key, *names).groupBy(label).applyInPandas(near, f"{label} {kinds[label]}, {key} {kinds[key]}, rank int, neighbour {kinds[key]}")
+    found = _in_blocks(dealt, dealt, near, f"_id long, _d double, neighbour {kind}, _other long", _blocks_of(dealt) * 2)
+    order = Window.partitionBy("_id").orderBy(c("_d").asc_nulls_last(), "neighbour", "_other")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
+    return dealt.select("_id", "_label", "_key").join(ranked, "_id").select(c("_label").alias(label), c("_key").alias(key), "rank", "neighbour")
 
 
 def smote(rows: DataFrame, names: list[str], label: str, key: str, target: dict, k: int = 4, seed: int = 42) -> DataFrame:
@@ -165,11 +208,11 @@ def spread_step(x: np.ndarray, y: np.ndarray, f: np.ndarray, gamma: float, alpha
 def label_spreading(rows: DataFrame, names: list[str], label: str, key: str, *, alpha: float = 0.2, gamma: float = 0.5, max_iter: int = 100, tolerance: float = 1e-3, threshold: float = 0.80, scale: bool = True) -> DataFrame:
     """key, semi_label (``uncertain`` under the threshold), semi_confidence. Null labels are spread to.
 
-    The graph is dense, so all rows meet in one group: MATRIX_ROWS at most, else it raises.
+    The graph is dense: DENSE_ROWS rows at most are one matrix; more are met in blocks in every round, with the same result.
     """
-    if rows.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
-        raise ValueError(f"more than {MATRIX_ROWS} rows in a matrix")
-    src = standard_scale(rows, names) if scale else rows
+    src = (standard_scale(rows, names) if scale else rows).select(c(key).alias("key"), c(label).alias("label"), *names)
+    if rows.limit(DENSE_ROWS + 1).count() > DENSE_ROWS:
+        return _spread_in_blocks(src, names, alpha, gamma, max_iter, tolerance, threshold).withColumnRenamed("key", key)
     kind = rows.schema[key].dataType.simpleString()
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,10 +240,52 @@ def label_spreading(rows: DataFrame, names: list[str], label: str, key: str, *,
         names_of = np.array([str(v) for v in values] or ["uncertain"])
         return pd.DataFrame({"key": pdf["key"].to_numpy(), "semi_label": np.where(best >= threshold, names_of[f.argmax(axis=1)], "uncertain"), "semi_confidence": best})
 
-    out = src.select(c(key).alias("key"), c(label).alias("label"), *names).groupBy().applyInPandas(spread, f"key {kind}, semi_label string, semi_confidence double")
+    out = src.groupBy().applyInPandas(spread, f"key {kind}, semi_label string, semi_confidence double")
     return out.withColumnRenamed("key", key)
 
 
+def _spread_in_blocks(src: DataFrame, names: list[str], alpha: float, gamma: float, max_iter: int, tolerance: float, threshold: float) -> DataFrame:
+    """``label_spreading`` of key, label and features; a round's state is one row per row, and is checkpointed."""
+    rows = _dealt(src)
+    values = sorted(r[0] for r in rows.select("label").distinct().dropna().collect())
+    blocks = _blocks_of(rows) * 2
+
+    def pulled(state: DataFrame, n: int) -> DataFrame:
+        """_id and the sums s0, s1, ... of the other rows' v0, v1, ... by weight."""
+
+        def run(x: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+            p, q, v = x[names].to_numpy(float), g[names].to_numpy(float), g[[f"v{i}" for i in range(n)]].to_numpy(float)
+            me, other, out = x["_id"].to_numpy(), g["_id"].to_numpy(), np.zeros((len(x), n))
+            for a in range(0, len(p), 128):
+                w = np.exp(-gamma * ((p[a : a + 128, None, :] - q[None]) ** 2).sum(axis=2))
+                w[me[a : a + 128, None] == other[None]] = 0
+                out[a : a + 128] = w @ v
+            return pd.DataFrame({"_id": me} | {f"s{i}": out[:, i] for i in range(n)})
+
+        parts = _in_blocks(rows.select("_id", *names), state, run, "_id long" + "".join(f", s{i} double" for i in range(n)), blocks)
+        return parts.groupBy("_id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n)))
+
+    if not values:
+        return rows.select("key", F.lit("uncertain").alias("semi_label"), F.lit(0.0).alias("semi_confidence"))
+    m = range(len(values))
+    degree = pulled(rows.select("_id", *names, F.lit(1.0).alias("v0")), 1).select("_id", F.sqrt(F.when(c("s0") == 0, 1.0).otherwise(c("s0"))).alias("_root"))
+    own = [F.coalesce((c("label") == v).cast("double"), F.lit(0.0)).alias(f"y{i}") for i, v in enumerate(values)]
+    rows = checkpointed(rows.join(degree, "_id").select("*", *own))
+    state = rows.select("*", *(c(f"y{i}").alias(f"f{i}") for i in m))
+    for _ in range(max_iter):
+        sums = pulled(state.select("_id", *names, *((c(f"f{i}") / c("_root")).alias(f"v{i}") for i in m)), len(values))
+        new = [(alpha * c(f"s{i}") / c("_root") + (1 - alpha) * c(f"y{i}")).alias(f"f{i}") for i in m]
+        move = sum((F.abs(alpha * c(f"s{i}") / c("_root") + (1 - alpha) * c(f"y{i}") - c(f"f{i}")) for i in m), F.lit(0.0)).alias("_move")
+        state = checkpointed(state.join(sums, "_id").select(*rows.columns, *new, move))
+        if state.agg(F.sum("_move")).first()[0] < tolerance:
+            break
+    total = sum((c(f"f{i}") for i in m), F.lit(0.0))
+    best = F.array_max(F.array(*(c(f"f{i}") / F.when(total == 0, 1.0).otherwise(total) for i in m)))
+    top = F.array_position(F.array(*(c(f"f{i}") for i in m)), F.array_max(F.array(*(c(f"f{i}") for i in m))))
+    name = F.get(F.array(*(F.lit(str(v)) for v in values)), (top - 1).cast("int"))
+    return state.select("key", F.when(best >= threshold, name).otherwise("uncertain").alias("semi_label"), best.alias("semi_confidence"))
+
+
 # ---- models on the ML library ---------------------------------------------------------------------
 
 

@@ -193,3 +193,42 @@ def test_numbers_are_places(spark):
     got = numbered(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), "v", out="n").orderBy("n").collect()
     assert [r.v for r in got] == sorted(values) and [r.n for r in got] == list(range(1, 503))
     assert numbered(spark.createDataFrame([], "v int"), "v", out="n").count() == 0
+
+
+def _spots(spark, n=90, seed=3):
+    """Rows in three classes, with repeated keys, repeated rows, a null label and ties of distance."""
+    rng = np.random.default_rng(seed)
+    rows = [(i // 2, ["a", "b", "c"][i % 3] if i % 5 else None, *(float(v) for v in rng.integers(0, 5, 2) + 2 * (i % 3))) for i in range(n)]
+    return spark.createDataFrame([*rows, *rows[:4]], "id long, y string, f double, g double")
+
+
+def test_votes_in_blocks_equal_votes_by_broadcast(spark, monkeypatch):
+    rows = _spots(spark)
+    known = rows.filter("y is not null")
+    plain = sorted(M.knn_vote(known, rows, ["f", "g"], "y", "id").collect())
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 25)
+    assert sorted(M.knn_vote(known, rows, ["f", "g"], "y", "id").collect()) == plain and len(plain) == 94
+    assert M.knn_vote(known, rows.limit(0), ["f", "g"], "y", "id").count() == 0
+
+
+def test_class_neighbours_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 20)
+    rows = _spots(spark, 60).dropDuplicates(["id"])
+    got = {(r.id, r["rank"]): r.neighbour for r in M.class_neighbours(rows, ["f", "g"], "y", "id", 3).collect()}
+    by = {r.id: r for r in rows.collect()}
+    want = {}
+    for r in by.values():
+        near = sorted(((r.f - o.f) ** 2 + (r.g - o.g) ** 2, o.id) for o in by.values() if o.id != r.id and o.y == r.y)
+        want |= {(r.id, k + 1): o for k, (_, o) in enumerate(near[:3])}
+    assert got == want
+
+
+def test_spreading_in_blocks_equals_one_matrix(spark, monkeypatch):
+    rows = _spots(spark)
+    result = lambda: sorted((r.id, r.semi_label, round(r.semi_confidence, 9)) for r in M.label_spreading(rows, ["f", "g"], "y", "id", threshold=0.6).collect())
+    plain = result()
+    monkeypatch.setattr(M, "DENSE_ROWS", 10)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 30)
+    assert result() == plain and {p[1] for p in plain} > {"a", "b"}
+    assert {r.semi_label for r in M.label_spreading(rows.withColumn("y", F.lit(None).cast("string")), ["f", "g"], "y", "id").collect()} == {"uncertain"}
