@@ -18,6 +18,7 @@ pairs only. All steps spill, and what is broadcast is bounded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,6 +256,44 @@ def linked_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     return out.select(c("k").alias(key), c("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
 
 
+def class_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets: members (key, n_shingles, cls) and links (a, b), classes with a < b.
+
+    ``cls`` is the class of rows with equal sets, which link with each other (null: an empty set, which links with
+    nothing); members has one row per row of ``docs``, with a null key too. No candidate is left out because its classes are in one
+    component already, so this costs more than ``linked_groups`` where many different texts are alike. A bucket meets
+    itself by bands of set sizes: only neighbouring bands can pass the length filter. An empty table gives empty results.
+    """
+    ship(docs.sparkSession)
+    src = _texts(docs, key, text)
+    c = F.col
+    src = src.select(F.struct(c("k").alias("key"), F.xxhash64("t").alias("h")).alias("k"), "t")  # texts without a key are told apart by their hash
+    rows = stored(prefixes(src, width, percent))
+    first = F.coalesce(F.min(F.when(c("k.key").isNotNull(), c("k"))), F.min("k"))
+    classes = checkpointed(rows.filter("cls is not null").groupBy("cls").agg(first.alias("first")), small=True)
+    band = F.floor(F.log(c("n").cast("double")) / math.log(100 / percent)) if percent < 100 else c("n")
+    low = stored(shared_postings(rows).select("shingle", "cls", "n", "pos").withColumn("band", band.cast("long")))
+    # one band more than the filter needs, as logarithms are rounded
+    reach = F.explode(F.sequence(c("band") - 2, c("band"))) if percent < 100 else c("band")
+    high = low.select("shingle", c("cls").alias("other"), c("n").alias("m"), c("pos").alias("mpos"), reach.alias("band"))
+    met = low.join(high, ["shingle", "band"]).filter(((c("n") < c("m")) | ((c("n") == c("m")) & (c("cls") < c("other")))) & may_link(c("n"), c("pos"), c("m"), c("mpos"), percent))
+    pairs = checkpointed(met.select(*_pair("cls", "n", "other", "m")).distinct(), small=True)
+    links = checkpointed(verified(pairs, classes, src, width, percent), small=True)
+    return rows.select(c("k.key").alias(key), c("n").alias("n_shingles"), "cls"), links
+
+
+def document_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, class_id (least key of the rows with an equal set; an empty set's
+    own; null where no such row has a key), n_links (other rows that it links with, copies among them). Nulls, repeated rows and empty tables as in ``class_links``."""
+    c = F.col
+    members, links = class_links(docs, key=key, text=text, width=width, percent=percent)
+    sizes = checkpointed(members.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("size"), F.min(key).alias("least")), small=True)
+    both = links.unionByName(links.select(c("b").alias("a"), c("a").alias("b")))
+    more = both.join(sizes.select(c("cls").alias("b"), "size"), "b").groupBy(c("a").alias("cls")).agg(F.sum("size").alias("more"))
+    known = sizes.join(more, "cls", "left").select("cls", "least", (c("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return members.join(known, "cls", "left").select(key, "n_shingles", F.coalesce("least", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose component has a smaller key, with all their columns.
 

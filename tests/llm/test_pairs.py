@@ -7,7 +7,7 @@ import pytest
 from cases import ROWS, documents
 from pyspark.sql import functions as F
 
-from crownlake.llm.jaccard_join import linked_groups, one_of_each_group
+from crownlake.llm.jaccard_join import class_links, document_links, linked_groups, one_of_each_group
 from crownlake.llm.multi_index import BinaryCode, MultiIndex, nearest
 from crownlake.llm.shingles import SEGMENT, sets_of
 from crownlake.llm.url_graph import filter_urls, host_edges, propagate
@@ -74,6 +74,29 @@ def test_groups_of_awkward_rows(spark):
     assert linked_groups(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 4), (2, 60, 5), (3, 100, 6)])
+def test_links_equal_brute_force(spark, width, percent, seed):
+    rows = near_copies(seed) + [r for r in dict.fromkeys(ROWS) if r[0] is not None]
+    sets = {k: shingles(t, width) for k, t in rows}
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    got = document_links(documents(spark, rows), width=width, percent=percent).collect()
+    want = {k: (len(x), min([k, *(o for o, y in sets.items() if x and x == y)]), sum(o != k and linked(x, y) for o, y in sets.items())) for k, x in sets.items()}
+    assert {r.doc_id: (r.n_shingles, r.class_id, r.n_links) for r in got} == want and len(got) == len(rows)
+    members, links = class_links(documents(spark, rows), width=width, percent=percent)
+    first = {r.cls: sets[r.doc_id] for r in members.collect()}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    different = list({x for x in sets.values() if x})
+    assert len(pairs) == len(set(pairs)) == sum(linked(x, y) for i, x in enumerate(different) for y in different[:i]) and all(linked(first[a], first[b]) for a, b in pairs)
+
+
+def test_links_of_awkward_rows(spark):
+    assert document_links(documents(spark, [])).count() == 0
+    repeated = document_links(documents(spark, [(1, "a b c"), (1, "a b c"), (2, "A b  c"), (None, "a b c"), (3, None)])).collect()
+    assert sorted((r.class_id, r.n_links) for r in repeated) == [(1, 3)] * 4 + [(3, 0)]
+    keyless = document_links(documents(spark, [(1, "a b c d"), (None, "a b c d e"), (None, "of its own"), (None, None)]), width=1, percent=80).collect()
+    assert sorted((r.class_id is None, r.n_links) for r in keyless) == [(False, 1), (True, 0), (True, 0), (True, 1)]
+
+
 def test_one_of_each_group(spark):
     rows = near_copies(5)
     docs = documents(spark, rows + [(None, "keyless text"), (1, "again"), (1, "again")])
