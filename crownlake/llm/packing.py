@@ -41,6 +41,7 @@ class WordPieces:
     """
 
     end = "\U0010ffff"
+    no_id = 0xFFFFFFFF
     plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
 
     def __init__(self, spec: dict):
@@ -61,7 +62,7 @@ class WordPieces:
         order = [bytes([b]) for b in range(256)] + [end[:k] for k in range(2, len(end) + 1)] + [bytes([b]) + end for b in range(256)]
         order += [raw("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["model"]["merges"]]
         ranks = {t: k for k, t in enumerate(dict.fromkeys(order))}
-        self.ids = np.array([known.get(t, 0) for t in ranks], "<u4")
+        self.ids = np.array([known.get(t, self.no_id) for t in ranks], "<u4")
         self.last = np.array([t.endswith(end) for t in ranks])
         self.encoding = tiktoken.Encoding("words", pat_str=r"[^ \n]+", mergeable_ranks=ranks, special_tokens={})
 
@@ -83,7 +84,10 @@ class WordPieces:
         words = np.cumsum([line.count(self.end) for line in marked.split("\n")])
         ranks = np.array(self.encoding.encode_ordinary(marked))
         ends = (np.flatnonzero(self.last[ranks]) + 1)[words - 1]
-        ids = self.ids[ranks].tobytes()
+        found = self.ids[ranks]
+        if (found == self.no_id).any():
+            raise ValueError("a piece without an id in the tokenizer file")
+        ids = found.tobytes()
         at = [0, *(4 * ends).tolist()]
         return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
