@@ -118,7 +118,7 @@ def knn_vote(train: DataFrame, rows: DataFrame, names: list[str], label: str, ke
     blocks, each of which gives its k nearest, with the same result."""
     kinds = {n: train.schema[n].dataType.simpleString() for n in (label, key)}
     if train.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        known, asked = _dealt(train.select(c(key).alias("_key"), c(label).alias("_label"), *names)), _dealt(rows.select(key, *names))
+        known, asked = _dealt(train.select(c(key).alias("_key"), c(label).alias("_label"), *names)), _dealt(rows.select(c(key).alias("_asked"), *names))
 
         def near(y: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             x = x.sort_values(["_key", "_id"])
@@ -134,7 +134,7 @@ def knn_vote(train: DataFrame, rows: DataFrame, names: list[str], label: str, ke
         order = Window.partitionBy("_id").orderBy(c("_d").asc_nulls_last(), "_key", "_other")
         votes = found.withColumn("_r", F.row_number().over(order)).filter(c("_r") <= k).groupBy("_id", "_label").agg(F.count("*").alias("_n"))
         most = votes.groupBy("_id").agg(F.min(F.struct((-c("_n")).alias("n"), "_label")).alias("_most"))
-        return asked.join(most, "_id").select(key, c("_most._label").alias("predicted"))
+        return asked.join(most, "_id").select(c("_asked").alias(key), c("_most._label").alias("predicted"))
 
     pdf = train.select(key, label, *names).orderBy(key).toPandas()
     values, codes = np.unique(pdf[label].to_numpy(), return_inverse=True)
