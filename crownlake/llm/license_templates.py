@@ -24,7 +24,7 @@ from .common import ship, sliced
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates and their labels: notices in common use and the heads of well-known texts.
+#: Templates and their labels. One-sentence notices first, then whole texts, in which every word outside the markup is mandatory.
 TEMPLATES = [
     ("mit-notice", "released under the [[terms of the]] mit license"),
     ("mit-notice", "licensed under the [[terms of the]] mit license"),
@@ -36,11 +36,50 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under [[a]] [[the]] cc by 4 0"),
     ("cc-by-sa-4.0", "licensed under [[a]] [[the]] cc by sa 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<1-8>> and associated documentation files the <<1-4>> to deal in the <<1-4>> without restriction"),
-    ("isc", "permission to use copy modify and or distribute <<1-8>> for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<1-8>> and associated documentation files the <<1-4>> to deal in the <<1-4>> without restriction "
+            "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<1-4>> and to permit persons to whom the <<1-4>> is furnished to do so "
+            "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the <<1-4>> "
+            "the <<1-4>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<1-2>> "
+            "in no event shall <<1-10>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the <<1-4>> or the use or other dealings in the"),
+    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+            "the software is provided as is and <<1-10>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<1-10>> be liable for any special direct indirect "
+            "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+            "this software is provided by <<1-10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+            "in no event shall <<1-10>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+            "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+            "[[3]] neither the name of <<1-10>> nor the names of <<1-4>> may be used to endorse or promote products derived from this software without specific prior written permission "
+            "this software is provided by <<1-10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+            "in no event shall <<1-10>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+            "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("apache-2.0-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 "
+            "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+            "see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-2.0-or-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version "
+            "<<1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+            "<<1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl-2.1-or-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version "
+            "<<1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("lgpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+            "<<1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("agpl-3.0-or-later", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+            "<<1-8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] [[www]] mozilla org mpl 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will <<1-10>> be held liable for any damages arising from the use of this software "
+            "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+            "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+            "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+            "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+            "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity "
+            "of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+            "fitness for a particular purpose and <<1-2>> in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
 ]
 
 _SEPARATORS = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 0x20 for c in range(256))

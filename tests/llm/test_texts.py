@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from cases import ROWS, documents, ids
 
 from crownlake.llm import progressive_jpeg as J
-from crownlake.llm.license_templates import compile_template, license_digest, scan_licenses, words_of
+from crownlake.llm.license_templates import TEMPLATES, compile_template, license_digest, scan_licenses, words_of
 from crownlake.llm.media_columns import decode_media, encode_media, media_digest, padded
 from crownlake.llm.packing import ChunkIds, best_fit, pack, plan_of, reduce_by_dominance, token_pieces
 from crownlake.llm.queries import tokenizer_file
@@ -337,3 +338,34 @@ def test_license_digest_equals_brute_force(spark):
     row = license_digest(documents(spark, [(1, "Licensed under the Apache License, Version 2.0, see there")])).first()
     assert row.labels == "apache,apache-2.0" and row.score == 1.0
     assert scan_licenses(documents(spark, [])).count() == 0
+
+
+MIT = """Copyright (c) 2020 Ann. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licenses_need_every_mandatory_word(spark):
+    rows = [(1, MIT), (2, MIT.replace("merge", "fold")), (3, MIT[: MIT.index("THE SOFTWARE IS")]), (4, MIT.replace("Software", "Font Tools").replace("THE SOFTWARE", "THE FONT TOOLS"))]
+    got = {r.doc_id: [m.label for m in r.matches] for r in scan_licenses(documents(spark, rows)).collect()}
+    assert got == {1: ["mit"], 2: [], 3: [], 4: ["mit"]}
+
+
+@pytest.mark.parametrize("label, markup", TEMPLATES)
+def test_templates_accept_their_wording_and_nothing_else(label, markup):
+    a, parts = compile_template(label, markup), [p for p in re.split(r"(\[\[.*?\]\]|<<\d+-\d+>>)", markup) if p.strip()]
+    for longest in (False, True):
+        words, fixed = [], []
+        for p in parts:
+            if p.startswith("<<"):
+                words += [b"filler"] * int(p[2:-2].split("-")[longest])
+            elif not p.startswith("[[") or longest:
+                fixed += range(len(words), len(words) + len(words_of(p))) if not p.startswith("[[") else []
+                words += words_of(p)
+        assert a.accepts_at(words, 0) == len(words)
+        if not longest:
+            for k in fixed:
+                assert a.accepts_at([*words[:k], b"changed", *words[k + 1 :]], 0) is None
+                assert a.accepts_at([*words[:k], b"changed", *words[k:]], 0) is None or k == 0 or any(words[j] == b"filler" for j in (k - 1, k))
