@@ -63,6 +63,37 @@ def test_assignment_is_optimal(shape):
         assert cost[rows, cols].sum() == pytest.approx(best)
 
 
+@pytest.mark.parametrize("spread", [0.1, 1.0, 30.0])
+def test_assignment_without_a_matrix_is_optimal(spread):
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (30, 90), (90, 30), (40, 40), (60, 1)):
+        p, q = rng.normal(size=(n, 2)) * spread, rng.normal(size=(m, 2)) * spread
+        p, q = (np.round(p), np.round(q)) if n == m else (p, q)
+        cost = 1 - np.exp(-(np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1]) ** 2) / 2)
+        rows, cols = L.assign_near(p, q, 1.0)
+        assert len(rows) == min(n, m) and len(set(cols)) == len(cols) and len(set(rows)) == len(rows)
+        assert cost[rows, cols].sum() == pytest.approx(cost[L.assign(cost)].sum())
+
+
+def test_matching_without_a_matrix_equals_matching_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    gps = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(40, 2)))], "gps_id long, gx double, gy double")
+    centres = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(70, 2)))] + [(70, float("nan"), 0.0)], "file long, x_pos double, y_pos double")
+    result = lambda: sorted((r.file, r.gps_id, round(r.label_distance, 9)) for r in L.match_labels(gps, centres, max_distance=0.5, sigma=0.5).collect())
+    plain = result()
+    monkeypatch.setattr(L, "DENSE_PAIRS", 0)
+    monkeypatch.setattr(L, "assign", None)
+    assert result() == plain and plain
+
+
+def test_covered_labels_lie_within_the_limit(spark):
+    gps = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 0.0), (3, -6.7, -6.7), (4, 30.0, 0.0), (5, float("nan"), 0.0)], "gps_id long, gx double, gy double")
+    centres = spark.createDataFrame([(1, -1.0, 0.0)], "file long, x_pos double, y_pos double")
+    assert {r.gps_id for r in L.covered(gps, centres, 10.0).collect()} == {1, 2, 3}
+    assert {r.gps_id for r in L.covered(gps, centres, 9.9).collect()} == {1, 3}
+    assert L.covered(gps, centres.filter("false"), 10.0).count() == 0
+
+
 def test_matching_is_global(spark):
     gps = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 0.0)], "gps_id long, gx double, gy double")
     centres = spark.createDataFrame([(1, 1.0, 0.0), (2, -4.0, 0.0)], "file long, x_pos double, y_pos double")
