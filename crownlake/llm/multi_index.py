@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Rows of an index block and of a query block; rows that the codes are learned on.
-BLOCK_ROWS, QUERY_ROWS, SAMPLE_ROWS = 32_768, 4_096, 8_192
+BLOCK_ROWS, QUERY_ROWS, SAMPLE_ROWS = 32_768, 8_192, 8_192
+#: Queries that are reranked together, and the share of a block's rows from which on it is by one product.
+BATCH, DENSE_SHARE = 64, 0.05
 WORD = 16
 _NEAR: dict[int, np.ndarray] = {}
 
@@ -93,26 +95,47 @@ class BinaryCode:
 
 
 class MultiIndex:
-    """Tables over the words of codes."""
+    """Tables over the words of codes: the values a word takes, where the rows of each begin, and each row's value."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
+        self.codes = np.ascontiguousarray(np.ascontiguousarray(np.pad(words, ((0, 0), (0, -words.shape[1] % 4)))).view(np.uint64).T)
         self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in words.T]
         self.start = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=1 << WORD))]) for c in words.T]
+        self.values = [np.flatnonzero(np.diff(start)).astype(np.uint16) for start in self.start]
+        self.place = [np.searchsorted(values, c).astype(np.intp) for values, c in zip(self.values, words.T, strict=True)]
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code lies within ``radius`` of ``code``."""
         mark = np.zeros(len(self.words), bool)
-        masks = within(min(radius // len(code), WORD))
-        for word, order, start in zip(code, self.order, self.start, strict=True):
-            values = masks ^ int(word)
-            begin, size = start[values], start[values + 1] - start[values]
-            full = size > 0
-            begin, size = begin[full], size[full]
-            at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            mark[order[at]] = True
-        rows = np.flatnonzero(mark)
-        return rows[np.bitwise_count(self.words[rows] ^ code).sum(axis=1) <= radius]
+        bits = min(radius // len(code), WORD)
+        masks = within(bits)
+        for k, word in enumerate(code):
+            if len(masks) < len(self.values[k]):
+                order, start, values = self.order[k], self.start[k], masks ^ int(word)
+                begin, size = start[values], start[values + 1] - start[values]
+                full = size > 0
+                begin, size = begin[full], size[full]
+                at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                mark[order[at]] = True
+            else:  # the table has fewer values than there are masks, so they are gone through instead
+                mark |= (np.bitwise_count(self.values[k] ^ word) <= bits).take(self.place[k], mode="clip")
+        # the check of whole codes: of the rows found, or where most are found of all, which needs no copy
+        own = np.pad(code, (0, -len(code) % 4)).view(np.uint64)
+        rows = np.flatnonzero(mark) if 4 * np.count_nonzero(mark) < len(mark) else None
+        far = 0
+        for whole, mine in zip(self.codes, own, strict=True):
+            far = far + np.bitwise_count((whole if rows is None else whole[rows]) ^ mine).astype(np.int64 if len(own) > 1 else np.uint8)
+        return np.flatnonzero(mark & (far <= radius)) if rows is None else rows[far <= radius]
+
+
+def kth_largest(x: np.ndarray, k: int) -> float:
+    """The k-th largest of ``x``; what is below the k-th largest of the maxima of 8 k parts can't be it."""
+    size = len(x) // (8 * k)
+    if size > 1:
+        least = np.partition(x[: 8 * k * size].reshape(size, 8 * k).max(axis=0), 7 * k)[7 * k]
+        x = x[x >= least]
+    return np.partition(x, len(x) - k)[len(x) - k]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -157,21 +180,32 @@ def nearest(
             x, ids = _matrix(left["v"]), left["id"].to_numpy()
             y, qids = _matrix(right["v"]), right["id"].to_numpy()
             index, codes = MultiIndex(code.words(x)), code.words(y, True)
-            for q, qid, c in zip(y, qids, codes, strict=True):
+
+            here = np.isin(qids, ids)  # queries with a row of their own in this block
+
+            def retrieved(c: np.ndarray, i: int) -> np.ndarray:
                 radius = code.radius
-                rows = index.probe(c, radius)
-                rows = rows[ids[rows] != qid]
-                while len(rows) < k and radius < WORD * len(c):  # the radius grows by a bit a word, up to all rows
-                    radius += len(c)
+                while True:  # the radius grows by a bit a word, up to all rows
                     rows = index.probe(c, radius)
-                    rows = rows[ids[rows] != qid]
-                near = x[rows] @ q
-                if len(rows) > k:  # a little more than k, as the sum below may round otherwise
-                    keep = near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(near).max())
-                    rows = rows[keep]
-                score = (x[rows] * q).sum(axis=1)
-                best = np.lexsort((ids[rows], -score))[:k]
-                found.append((np.full(len(best), qid), ids[rows][best], score[best]))
+                    rows = rows[ids[rows] != qids[i]] if here[i] else rows
+                    if len(rows) >= k or radius >= WORD * len(c):
+                        return rows
+                    radius += len(c)
+
+            room = np.empty((min(BATCH, len(y)), len(x)))
+            for a in range(0, len(y), BATCH):
+                part = [retrieved(c, a + i) for i, c in enumerate(codes[a : a + BATCH])]
+                # where many rows are retrieved, one product of matrices is faster than to gather each query's rows
+                many = sum(map(len, part)) > DENSE_SHARE * len(part) * len(x)
+                products = np.matmul(y[a : a + BATCH], x.T, out=room[: len(part)]) if many else None
+                for i, rows in enumerate(part):
+                    q, qid = y[a + i], qids[a + i]
+                    near = products[i].take(rows, mode="clip") if many else x[rows] @ q
+                    if len(rows) > k:  # a little more than k, as the sum below may round otherwise
+                        rows = rows[near >= kth_largest(near, k) - 1e-9 * (1 + max(near.max(), -near.min()))]
+                    score = (x[rows] * q).sum(axis=1)
+                    best = np.lexsort((ids[rows], -score))[:k]
+                    found.append((np.full(len(best), qid), ids[rows][best], score[best]))
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

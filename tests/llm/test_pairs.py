@@ -7,8 +7,9 @@ import pytest
 from cases import ROWS, documents
 from pyspark.sql import functions as F
 
+from crownlake.llm import multi_index
 from crownlake.llm.jaccard_join import class_links, document_links, linked_groups, one_of_each_group
-from crownlake.llm.multi_index import BinaryCode, MultiIndex, nearest
+from crownlake.llm.multi_index import BinaryCode, MultiIndex, kth_largest, nearest
 from crownlake.llm.shingles import SEGMENT, sets_of
 from crownlake.llm.url_graph import filter_urls, host_edges, propagate
 
@@ -134,6 +135,32 @@ def test_probing_finds_the_whole_ball():
             assert np.array_equal(index.probe(words[q], radius), near)
 
 
+@pytest.mark.parametrize("bits", [16, 40, 64, 100])
+def test_probing_by_masks_or_by_values_finds_the_same(bits):
+    words = np.random.default_rng(bits).integers(0, 1 << 16, (3000, -(-bits // 16))).astype(np.uint16)
+    words[::3, -1] = 7
+    index = MultiIndex(words)
+    for radius in (0, 4, 9, 20, 30):
+        for c in words[:6]:
+            assert np.array_equal(index.probe(c, radius), np.flatnonzero(np.bitwise_count(words ^ c).sum(axis=1) <= radius))
+
+
+def test_kth_largest():
+    for seed, n in enumerate((20, 21, 159, 320, 321, 5000)):
+        x = np.random.default_rng(seed).integers(0, 500, n).astype(float)
+        assert kth_largest(x, 20) == np.sort(x)[-20]
+
+
+def test_rerank_by_one_product_or_by_rows_gives_the_same(spark, monkeypatch):
+    x = vectors(1500, seed=4)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = []
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(multi_index, "DENSE_SHARE", share)
+        found.append(sorted(map(tuple, nearest(df, F.col("vec_id") % 20 == 0).collect())))
+    assert found[0] == found[1] and len(found[0]) == 75 * 20
+
+
 def test_recall_and_order(spark):
     x = vectors(3000, seed=2)
     x[5] = x[1000]  # a tie
