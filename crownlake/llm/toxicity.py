@@ -7,7 +7,7 @@ Two word bigram models, of toxic and of ordinary texts, are compared:
     P_c(s)     = max(N_c(s) - S_c, 0) / N_c     + rest_c'   * P(s)
 
 All counts are Kneser-Ney counts of different contexts, so copies of a text don't count: n_c(v, w) counts
-(classes of) words before v, N_c(w) words before w, N_c(s) sums these over the stem s of w (its first STEM
+words before v, N_c(w) words before w, N_c(s) sums these over the stem s of w (its first STEM
 letters). P(w | s) and P(s) are shared by both classes. Discounts are larger than the usual ones below 1, so
 that an expression that is rare in a class stands for its shared backoff there; those of words and stems
 grow with the size of the class, so that both classes leave about the same mass to the shared counts.
@@ -25,6 +25,7 @@ entry (a bit filter) are joined by shuffle. Values are fixed-point numbers, so s
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,11 +45,11 @@ HEAD, FILTER_BITS = 1_000_000, 1 << 26
 STEM = 5
 #: Discounts of words and of stems in the smaller class (in the other in proportion to its size), and of bigrams.
 WORD_DISCOUNT, STEM_DISCOUNT, BIGRAM_DISCOUNT = 2.0, 4.0, 8
-#: Kinds of words before a bigram that are told apart.
-CONTEXTS = 15
+#: Values of the hash by which the words before a bigram are told apart.
+CONTEXTS = 1 << 48
 #: Most labels and words that are broadcast to the texts and bigrams, and most rows for the calibration.
 BROADCAST_LABELS, BROADCAST_WORDS, CALIBRATION_ROWS = 5_000_000, 200_000, 20_000
-#: Words in a half of a window (windows overlap by it), and bigrams that one task holds before it passes its sums on.
+#: Words in a half of a window (windows overlap by it), and bigrams and contexts that one task holds before it passes them on.
 HALF, TASK_KEYS = 16, 1_000_000
 #: Words whose entries a task remembers.
 CACHED_WORDS = 100_000
@@ -143,61 +144,72 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: st
 
 
 def count_bigrams(labelled: DataFrame) -> DataFrame:
-    """v, w, bits of the rows (t, y, late): contexts of all bigrams; v is empty at a text's start.
+    """v, w, and toxic0, ordinary0 (early rows), toxic1, ordinary1 (all rows) of the rows (t, y, late): numbers of contexts
+    of all bigrams; v is empty at a text's start.
 
-    A context is the word before v (none at a text's start), as one of CONTEXTS bits by its crc32. There are such bits
-    for toxic and for ordinary texts, and again for ``late`` ones.
+    A context is the word before v (none at a text's start). All different ones count; they are told apart by a hash of
+    CONTEXTS values. A task sends each bigram's contexts once, and meets those of other tasks after the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        bit: dict[str, int] = {}
+        seen: dict[str, int | set[int]] = {}  # most bigrams have a single context in a task
+        known: tuple[dict[str, int], ...] = ({}, {}, {}, {})  # of each kind: a word's hash, with the kind in the last two bits
+        extra = 0
 
         def passed() -> Iterator[pa.RecordBatch]:
             # in order, so that what is shuffled compresses well
             names = sorted(seen)
             for a in range(0, len(names), 1 << 16):
                 part = names[a : a + (1 << 16)]
-                yield pa.record_batch([pa.array(part, pa.string()), pa.array([seen[n] for n in part], pa.int64())], ["name", "bits"])
-            seen.clear(), bit.clear()
+                own = [seen[n] for n in part]
+                more = [None if type(x) is int else sorted(x) for x in own]
+                yield pa.record_batch([pa.array(part, pa.string()), pa.array([x if m is None else m.pop() for x, m in zip(own, more, strict=True)], pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["name", "one", "more"])
+            seen.clear()
+            for k in known:
+                k.clear()
 
         for batch in sliced(batches, "t", 1 << 20):
             for t, y, late in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                shift = CONTEXTS * (2 * late + (0 if y else 1))
+                kind = 2 * late + (0 if y else 1)
+                own = known[kind]
                 u = v = _START
                 for w in words_of(t):
-                    b = bit.get(u)
-                    if b is None:
-                        b = bit[u] = zlib.crc32(u.encode("utf-8", "surrogatepass")) % CONTEXTS
+                    x = own.get(u)
+                    if x is None:
+                        x = own[u] = int.from_bytes(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=8).digest()) % CONTEXTS << 2 | kind
                     name = v + " " + w
-                    seen[name] = seen.get(name, 0) | 1 << b + shift
+                    old = seen.get(name)
+                    if old is None:
+                        seen[name] = x
+                    elif type(old) is int:
+                        if old != x:
+                            seen[name] = {old, x}
+                            extra += 2
+                    elif x not in old:
+                        old.add(x)
+                        extra += 1
                     u, v = v, w
-            if len(seen) > TASK_KEYS:
+            if len(seen) + extra > TASK_KEYS:
+                extra = 0
                 yield from passed()
         yield from passed()
 
-    # dealt before they are summed, which keeps their order
-    dealt = labelled.mapInArrow(run, "name string, bits long").repartition("name").groupBy("name").agg(F.bit_or("bits").alias("bits"))
-    return dealt.select(F.substring_index("name", " ", 1).alias("v"), F.substring_index("name", " ", -1).alias("w"), "bits")
-
-
-def contexts(late: bool) -> list[Column]:
-    """toxic, ordinary: numbers of contexts in the early rows, or in all rows."""
-    mask = (1 << CONTEXTS) - 1
-    out = []
-    for k, x in enumerate(CLASSES):
-        own = F.shiftright("bits", CONTEXTS * k)
-        both = own.bitwiseOR(F.shiftright("bits", CONTEXTS * (k + 2))) if late else own
-        out.append(F.bit_count(both.bitwiseAND(F.lit(mask))).cast("long").alias(x))
-    return out
+    # dealt before they are summed, which keeps their order; both sums are within the same deal
+    dealt = labelled.mapInArrow(run, "name string, one long, more array<long>").repartition("name")
+    each = dealt.select("name", F.explode(F.when(F.col("more").isNull(), F.array("one")).otherwise(F.array_append("more", F.col("one")))).alias("x"))
+    kinds = F.bit_or(F.expr("shiftleft(1, cast(x & 3 as int))")).alias("kinds")
+    found = each.groupBy("name", F.shiftright("x", 2).alias("context")).agg(kinds)
+    of = lambda mask: F.count_if(F.col("kinds").bitwiseAND(F.lit(mask)) > 0)
+    sums = [of((1 | 4 * late) << k).alias(f"{x}{late}") for late in (0, 1) for k, x in enumerate(CLASSES)]
+    whole = found.groupBy("name").agg(*sums)
+    return whole.select(F.substring_index("name", " ", 1).alias("v"), F.substring_index("name", " ", -1).alias("w"), *(f"{x}{late}" for late in (0, 1) for x in CLASSES))
 
 
 def count_words(grams: DataFrame) -> DataFrame:
     """w, and toxic, ordinary, both of the early rows and of all rows (with a 1): in how many bigrams a word is the second."""
-    counts = grams.select("w", *(c.alias(f"{x}{late}") for late in (0, 1) for x, c in zip(CLASSES, contexts(bool(late)), strict=True)))
     sums = [F.count_if(F.col(f"{x}{late}") > 0).alias(f"{x}{late}") for late in (0, 1) for x in CLASSES]
     both = [F.count_if(F.col(f"toxic{late}") + F.col(f"ordinary{late}") > 0).alias(f"both{late}") for late in (0, 1)]
-    return counts.groupBy("w").agg(*sums, *both)
+    return grams.groupBy("w").agg(*sums, *both)
 
 
 def _value(nats: Column) -> Column:
@@ -233,7 +245,7 @@ class _Level:
 def build_model(grams: DataFrame, counted: DataFrame, late: bool) -> KneserNey:
     """The model of ``count_bigrams`` and ``count_words``, of the early rows or of all rows."""
     c = F.col
-    counts = grams.select("v", "w", *contexts(late)).filter("toxic + ordinary > 0")
+    counts = grams.select("v", "w", *(c(f"{x}{int(late)}").alias(x) for x in CLASSES)).filter("toxic + ordinary > 0")
     words = counted.select("w", *(c(f"{x}{int(late)}").alias(x) for x in (*CLASSES, "both")), F.substring("w", 1, STEM).alias("s")).filter("both > 0")
     stems = stored(words.groupBy("s").agg(*(F.sum(x).alias(x) for x in CLASSES), F.sum("both").alias("both")))
     of_words, of_stems = _Level(words, WORD_DISCOUNT), _Level(stems, STEM_DISCOUNT)

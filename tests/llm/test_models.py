@@ -185,6 +185,19 @@ def test_ratios_equal_brute_force(spark, monkeypatch, head, late):
         assert [r[f] for f in toxicity.FEATURES] == pytest.approx(expected, abs=1e-6) and r.ratio == pytest.approx(np.mean(x), abs=1e-8)
 
 
+@pytest.mark.parametrize("keys", [toxicity.TASK_KEYS, 7])
+def test_all_contexts_of_a_bigram_count(spark, monkeypatch, keys):
+    monkeypatch.setattr(toxicity, "TASK_KEYS", keys)
+    rows = [(f"w{k} red fox", k % 3 == 0, k % 2) for k in range(60)] + [("w3 red fox", 0, 0), ("w0 red fox", 1, 1), ("red fox", 1, 1)]
+    labelled = spark.createDataFrame([(t, int(y), late) for t, y, late in rows], "t string, y int, late int").repartition(3)
+    got = {(r.v, r.w): r for r in toxicity.count_bigrams(labelled).collect()}
+    for late in (0, 1):
+        for y, x in ((1, "toxic"), (0, "ordinary")):
+            own = {t.removesuffix("red fox") for t, label, at in rows if label == y and at <= late}
+            assert got["red", "fox"][f"{x}{late}"] == len(own) > 9
+    assert got["", "red"].toxic0 == 0 and got["", "red"].toxic1 == 1 and len(got) == 122
+
+
 def test_toxicity_on_awkward_rows(spark, toxic):
     docs, labels, _ = toxic
     model = fit_toxicity(docs, labels)
