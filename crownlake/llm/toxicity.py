@@ -25,7 +25,6 @@ entry (a bit filter) are joined by shuffle. Values are fixed-point numbers, so s
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc_remainder, drop_stored, most_frequent, ship, sliced, stored
+from .common import crc_remainder, drop_stored, most_frequent, release, ship, sliced, stored
 
 #: Most values that are broadcast (the others are joined), and bits of the filter of names with a value.
 HEAD, FILTER_BITS = 1_000_000, 1 << 26
@@ -45,12 +44,14 @@ HEAD, FILTER_BITS = 1_000_000, 1 << 26
 STEM = 5
 #: Discounts of words and of stems in the smaller class (in the other in proportion to its size), and of bigrams.
 WORD_DISCOUNT, STEM_DISCOUNT, BIGRAM_DISCOUNT = 2.0, 4.0, 8
-#: Values of the hash by which the words before a bigram are told apart.
+#: Read by a test only: more than the values of the crc32 by which it tells contexts apart.
 CONTEXTS = 1 << 48
 #: Most labels and words that are broadcast to the texts and bigrams, and most rows for the calibration.
 BROADCAST_LABELS, BROADCAST_WORDS, CALIBRATION_ROWS = 5_000_000, 200_000, 20_000
-#: Words in a half of a window (windows overlap by it), and bigrams and contexts that one task holds before it passes them on.
+#: Words in a half of a window (windows overlap by it), and contexts of bigrams that one task holds before it passes them on.
 HALF, TASK_KEYS = 16, 1_000_000
+#: Different words that a counting task numbers before it passes on what it holds, and bytes of text whose bigrams make a bucket.
+NUMBER_BITS, BUCKET_BYTES = 20, 24 << 20
 #: Words whose entries a task remembers.
 CACHED_WORDS = 100_000
 #: Nats of a word's ratio beyond which it is evidence of its own.
@@ -63,12 +64,25 @@ FEATURES = ("ratio", "mean", "window", "log_words")
 CLASSES = ("toxic", "ordinary")
 _WORD = re.compile(r"[^\W_]+")
 _START = ""
+_SUMS = [f"{x}{late}" for late in (0, 1) for x in CLASSES]
+#: Of ASCII bytes: letters in lower case, digits, spaces for the others.
+_ASCII = bytes(ord(chr(k).lower()) if chr(k).isalnum() else 32 for k in range(128)) + bytes(128)
 
 
 def words_of(text: str) -> list[str]:
+    if text.isascii():  # the same words, faster
+        return text.encode().translate(_ASCII).decode().split()
     return _WORD.findall(text.lower())
 
 
+class _Numbers(dict):
+    """Words numbered in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 @dataclass
 class KneserNey:
     """Values by name in steps of 1 / UNIT nats. Names: "\\0s" + stem, "\\0w" + word, "\\0v" + context, "v w" of a bigram.
@@ -143,66 +157,116 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: st
     return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(own) if small else own, key).select("t", "y", "late")
 
 
+def _shuffled(rows: np.ndarray, numbers: dict[str, int], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct rows (numbers of v, w and u of ``bits`` bits, kind; in order) by the bucket of their bigram, each bucket with its own words.
+
+    The first number and the others go as bytes of one place each, so that they compress to about their entropy.
+    """
+    words = list(numbers)
+    crc = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    mask = (1 << bits) - 1
+    v, w, u = ((rows >> place & mask).astype(np.int32) for place in (2 + 2 * bits, 2 + bits, 2))
+    mixed = (crc[v] << np.uint64(32) | crc[w]) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    del mixed
+    order = np.argsort(bucket, kind="stable")
+    limits = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1) if len(rows) else [])
+    pack = lambda raw: pa.compress(raw, "zstd", asbytes=True)
+    for a, b in zip(limits, limits[1:], strict=False):
+        at = order[a:b]
+        parts = [x[at] for x in (v, w, u)]
+        used = np.zeros(len(words), bool)
+        for x in parts:
+            used[x] = True
+        own = " ".join(words[k] for k in np.flatnonzero(used).tolist()).encode("utf-8", "surrogatepass")
+        number = np.cumsum(used, dtype=np.int32) - 1
+        parts = [number[x] for x in parts]
+        parts[0] = np.diff(parts[0], prepend=np.int32(0))
+        planes = [pack((x >> 8 * k).astype(np.uint8).tobytes()) for x in parts for k in range(3)] + [pack((rows[at] & 3).astype(np.uint8).tobytes())]
+        columns = [pa.array([int(bucket[at[0]])], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([pack(own)]), pa.array([planes], pa.list_(pa.binary()))]
+        yield pa.record_batch(columns, ["bucket", "n", "size", "words", "planes"])
+
+
+class _Contexts:
+    """Distinct rows of a bucket: bigrams (numbers of v and w) with a context's number and kind."""
+
+    def __init__(self, most: int):
+        self.numbers, self.pairs, self.ends, self.held, self.most = _Numbers(), [], [], 0, most
+
+    def add(self, n: int, size: int, words: bytes, planes: list[bytes]) -> None:
+        own = pa.decompress(words, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split(" ")
+        number = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        x = [np.frombuffer(pa.decompress(raw, n, "zstd"), np.uint8).astype(np.int64) for raw in planes]
+        v, w, u = (x[k] | x[k + 1] << 8 | x[k + 2] << 16 for k in (0, 3, 6))
+        self.pairs.append(number[np.cumsum(v)] << 32 | number[w])
+        self.ends.append(number[u] << 2 | x[9])
+        self.held += n
+        if self.held > 2 * self.most:
+            pairs, rows = self.distinct()
+            self.pairs, self.ends = [pairs[rows >> 34]], [rows & (1 << 34) - 1]
+            self.held = len(rows) - self.most  # so that it is done again after as many more
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams in order; and all rows in order: the bigram's place, the context's number, the kind."""
+        pairs, which = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        self.pairs = []
+        rows = np.sort(which << 34 | np.concatenate(self.ends))
+        return pairs, rows[np.diff(rows, prepend=-1) != 0]
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        pairs, rows = self.distinct()
+        heads = np.flatnonzero(np.diff(rows >> 2, prepend=-1))
+        kinds = np.bitwise_or.reduceat(1 << (rows & 3), heads)
+        place = rows[heads] >> 34
+        sums = [np.bincount(place[kinds & (1 | 4 * late) << k != 0], minlength=len(pairs)) for late in (0, 1) for k in (0, 1)]
+        words = pa.array(list(self.numbers), pa.string())
+        for a in range(0, len(pairs), 1 << 16):
+            part = pairs[a : a + (1 << 16)]
+            yield pa.record_batch([words.take(pa.array(part >> 32)), words.take(pa.array(part & (1 << 32) - 1)), *(pa.array(x[a : a + (1 << 16)], pa.int64()) for x in sums)], ["v", "w", *_SUMS])
+
+
 def count_bigrams(labelled: DataFrame) -> DataFrame:
     """v, w, and toxic0, ordinary0 (early rows), toxic1, ordinary1 (all rows) of the rows (t, y, late): numbers of contexts
     of all bigrams; v is empty at a text's start.
 
-    A context is the word before v (none at a text's start). All different ones count; they are told apart by a hash of
-    CONTEXTS values. A task sends each bigram's contexts once, and meets those of other tasks after the shuffle.
+    A context is the word before v (none at a text's start). All different ones count, told apart by the words
+    themselves. A task sends each bigram's contexts once, as numbers with the words they stand for, and they meet those of
+    other tasks after the shuffle.
     """
+    size = labelled.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = 1 + max(size // BUCKET_BYTES, min(4 * labelled.sparkSession.sparkContext.defaultParallelism, size >> 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int | set[int]] = {}  # most bigrams have a single context in a task
-        known: tuple[dict[str, int], ...] = ({}, {}, {}, {})  # of each kind: a word's hash, with the kind in the last two bits
-        extra = 0
-
-        def passed() -> Iterator[pa.RecordBatch]:
-            # in order, so that what is shuffled compresses well
-            names = sorted(seen)
-            for a in range(0, len(names), 1 << 16):
-                part = names[a : a + (1 << 16)]
-                own = [seen[n] for n in part]
-                more = [None if type(x) is int else sorted(x) for x in own]
-                yield pa.record_batch([pa.array(part, pa.string()), pa.array([x if m is None else m.pop() for x, m in zip(own, more, strict=True)], pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["name", "one", "more"])
-            seen.clear()
-            for k in known:
-                k.clear()
-
+        numbers, held, n, most = _Numbers({_START: 0}), [], 0, 1 << NUMBER_BITS
         for batch in sliced(batches, "t", 1 << 20):
             for t, y, late in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 kind = 2 * late + (0 if y else 1)
-                own = known[kind]
-                u = v = _START
-                for w in words_of(t):
-                    x = own.get(u)
-                    if x is None:
-                        x = own[u] = int.from_bytes(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=8).digest()) % CONTEXTS << 2 | kind
-                    name = v + " " + w
-                    old = seen.get(name)
-                    if old is None:
-                        seen[name] = x
-                    elif type(old) is int:
-                        if old != x:
-                            seen[name] = {old, x}
-                            extra += 2
-                    elif x not in old:
-                        old.add(x)
-                        extra += 1
-                    u, v = v, w
-            if len(seen) + extra > TASK_KEYS:
-                extra = 0
-                yield from passed()
-        yield from passed()
-
-    # dealt before they are summed, which keeps their order; both sums are within the same deal
-    dealt = labelled.mapInArrow(run, "name string, one long, more array<long>").repartition("name")
-    each = dealt.select("name", F.explode(F.when(F.col("more").isNull(), F.array("one")).otherwise(F.array_append("more", F.col("one")))).alias("x"))
-    kinds = F.bit_or(F.expr("shiftleft(1, cast(x & 3 as int))")).alias("kinds")
-    found = each.groupBy("name", F.shiftright("x", 2).alias("context")).agg(kinds)
-    of = lambda mask: F.count_if(F.col("kinds").bitwiseAND(F.lit(mask)) > 0)
-    sums = [of((1 | 4 * late) << k).alias(f"{x}{late}") for late in (0, 1) for k, x in enumerate(CLASSES)]
-    whole = found.groupBy("name").agg(*sums)
-    return whole.select(F.substring_index("name", " ", 1).alias("v"), F.substring_index("name", " ", -1).alias("w"), *(f"{x}{late}" for late in (0, 1) for x in CLASSES))
+                words = [_START, _START, *words_of(t)]
+                for a in range(0, len(words) - 2, most // 4):
+                    part = words[a : a + most // 4 + 2]
+                    if held and (len(numbers) + len(part) > most or n > 2 * TASK_KEYS):
+                        held = [np.unique(np.concatenate(held))]
+                        n = len(held[0])
+                        if len(numbers) + len(part) > most or n > TASK_KEYS:
+                            yield from _shuffled(held[0], numbers, NUMBER_BITS, buckets)
+                            numbers, held, n = _Numbers({_START: 0}), [], 0
+                    x = np.fromiter(map(numbers.__getitem__, part), np.int64, len(part))
+                    held.append(((x[1:-1] << NUMBER_BITS | x[2:]) << NUMBER_BITS | x[:-2]) << 2 | kind)
+                    n += len(part) - 2
+        if held:
+            yield from _shuffled(np.unique(np.concatenate(held)), numbers, NUMBER_BITS, buckets)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        contexts = _Contexts(TASK_KEYS)
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                contexts.add(*row)
+        if contexts.pairs:
+            yield from contexts.counts()
+
+    dealt = labelled.mapInArrow(run, "bucket int, n int, size int, words binary, planes array<binary>").repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(merged, "v string, w string, " + ", ".join(f"{x} long" for x in _SUMS))
 
 
 def count_words(grams: DataFrame) -> DataFrame:

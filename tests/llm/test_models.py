@@ -198,6 +198,31 @@ def test_all_contexts_of_a_bigram_count(spark, monkeypatch, keys):
     assert got["", "red"].toxic0 == 0 and got["", "red"].toxic1 == 1 and len(got) == 122
 
 
+def test_contexts_are_told_apart_by_their_words(spark):
+    """These two have the same blake2b hash modulo 2 ** 48."""
+    labelled = spark.createDataFrame([("w14920866 red fox", 1, 0), ("w20473729 red fox", 1, 0)], "t string, y int, late int")
+    (row,) = toxicity.count_bigrams(labelled).filter("v = 'red' and w = 'fox'").collect()
+    assert (row.toxic0, row.ordinary0, row.toxic1, row.ordinary1) == (2, 0, 2, 0)
+
+
+def test_counting_with_few_numbers_and_buckets(spark, monkeypatch):
+    """A task passes on what it holds when it has no numbers left, within a text too."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"v{k}é" for k in range(40)], k=rng.randint(0, 90))) for _ in range(60)]
+    labelled = spark.createDataFrame([(t, k % 2, k % 3 // 2) for k, t in enumerate(texts)], "t string, y int, late int")
+    whole = sorted(toxicity.count_bigrams(labelled).collect())
+    contexts = {}
+    for t in texts:
+        words = t.split()
+        for u, v, w in zip(["", "", *words], ["", *words], words, strict=False):
+            contexts.setdefault((v, w), set()).add(u)
+    assert {(r.v, r.w) for r in whole} == set(contexts) and all(max(r.toxic1, r.ordinary1) <= len(contexts[r.v, r.w]) <= r.toxic1 + r.ordinary1 for r in whole)
+    monkeypatch.setattr(toxicity, "NUMBER_BITS", 6)
+    monkeypatch.setattr(toxicity, "TASK_KEYS", 50)
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 1000)
+    assert sorted(toxicity.count_bigrams(labelled).collect()) == whole
+
+
 def test_toxicity_on_awkward_rows(spark, toxic):
     docs, labels, _ = toxic
     model = fit_toxicity(docs, labels)
