@@ -29,9 +29,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -53,7 +55,7 @@ HALF, TASK_KEYS = 16, 1_000_000
 #: Different words that a counting task numbers before it passes on what it holds, and bytes of text whose bigrams make a bucket.
 NUMBER_BITS, BUCKET_BYTES = 20, 24 << 20
 #: Words whose entries a task remembers.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 #: Nats of a word's ratio beyond which it is evidence of its own.
 EXCESS = 1.0
 #: Steps of a nat in the values; x nats per word enter the calibration as log(1 + SCALE * x), so that copied toxic texts don't rule it.
@@ -92,7 +94,7 @@ class KneserNey:
 
     base: int
     entries: DataFrame  # name, value
-    head: bytes  # the broadcast part of it, in Arrow's file format
+    head: Head  # the broadcast part of it
     live: np.ndarray | None  # bits of the names' crc32; None if ``head`` is all
     probabilities: DataFrame  # word, p0 (toxic), p1 (ordinary); stems begin with "\\0"
     weights: np.ndarray | None = None  # of the calibration: bias, then FEATURES
@@ -113,19 +115,155 @@ class KneserNey:
             drop_stored(table)
 
 
-def _arrow_bytes(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_file(sink, table.schema) as f:
-        f.write_table(table)
-    return sink.getvalue().to_pybytes()
-
+@dataclass
+class Head:
+    """The most frequent entries in arrays. Words are numbered; bigrams are numbers of v << 32 | number of w, in order."""
+
+    stems: pa.Array
+    stem_values: np.ndarray
+    words: pa.Array
+    word_values: np.ndarray
+    contexts: np.ndarray
+    has_word: np.ndarray
+    has_context: np.ndarray
+    pairs: np.ndarray
+    pair_values: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Head:
+        """From name and value."""
+        name, value = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in table["name"].chunks)]), table["value"].to_numpy()
+        kind = pc.utf8_slice_codeunits(name, 0, 2)
+        is_kind = [pc.equal(kind, "\x00" + k).to_numpy(zero_copy_only=False) for k in "swv"]
+        is_pair = ~np.logical_or.reduce(is_kind)
+        stems, words, before = (pc.utf8_slice_codeunits(name.filter(pa.array(own)), 2) for own in is_kind)
+        ends = pc.split_pattern(name.filter(pa.array(is_pair)), " ").flatten()
+        coded = pa.concat_arrays([words, before, ends]).dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        n, m = len(words), len(words) + len(before)
+        sums, has = np.zeros((2, len(coded.dictionary)), np.int64), np.zeros((2, len(coded.dictionary)), bool)
+        for k, at in enumerate((number[:n], number[n:m])):
+            sums[k, at], has[k, at] = value[is_kind[k + 1]], True
+        pairs = number[m::2] << 32 | number[m + 1 :: 2]
+        order = np.argsort(pairs)
+        return cls(stems, value[is_kind[0]], coded.dictionary, *sums, *has, pairs[order], value[is_pair][order])
+
+
+def _crc_steps(most: int) -> np.ndarray:
+    """What n zero bytes (n up to ``most``) make of each byte of a crc32's register: by n, place, byte."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1)
+    out = [np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]]
+    for _ in range(most):
+        out.append(out[-1] >> np.uint32(8) ^ step[out[-1] & np.uint32(255)])
+    return np.array(out)
+
+
+class _Lexicon:
+    """What a task found for the words of its texts, by their numbers. It is made by each task: a worker that kept it would hold it
+    through later stages.
+
+    Open names are those that aren't in the head and may have a value all the same.
+    """
 
-def _entries(raw: bytes) -> dict[str, int]:
-    """The head as a dictionary, made by each task: a worker that kept it would hold it through later stages."""
-    out: dict[str, int] = {}
-    for batch in pa.ipc.open_file(pa.BufferReader(raw)).read_all().to_batches(max_chunksize=1 << 16):
-        out.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    return out
+    #: Bits of a word's open names: of its stem, itself, its context.
+    STEM, WORD, CONTEXT = 1, 2, 4
+    LONG = 64
+
+    def __init__(self, head: Head, live: np.ndarray | None, base: int):
+        self.head, self.live, self.base = head, live, base
+        self.of_word = dict(zip(head.words.to_pylist(), range(len(head.words)), strict=True))
+        self.of_stem = dict(zip(head.stems.to_pylist(), head.stem_values.tolist(), strict=True))
+        self.steps = None if live is None else _crc_steps(self.LONG)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = _Numbers()
+        # by word: its stem's and its own value with the base, its context's value, its number in the head, open names, whether bigrams may follow
+        self.own, self.context, self.place = (np.zeros(0, np.int64) for _ in range(3))
+        self.opens, self.goes_on = np.zeros(0, np.uint8), np.zeros(0, bool)
+        self.crc, self.crc_before, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.names = pa.array([], pa.string())
+        self.learn([_START])
+
+    def is_open(self, crc: np.ndarray) -> np.ndarray:
+        x = crc.astype(np.int64) % FILTER_BITS
+        return (self.live[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
+
+    def learn(self, words: list[str]) -> None:
+        head, n = self.head, len(words)
+        for w in words:
+            self.numbers[w]  # numbers it
+        place = np.fromiter((self.of_word.get(w, -1) for w in words), np.int64, n)
+        stem = [self.of_stem.get(w[:STEM]) for w in words]
+        known = place >= 0
+        at = place[known]
+        own = np.fromiter((x or 0 for x in stem), np.int64, n) + self.base
+        own[known] += head.word_values[at]
+        context, has_word, has_context = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        context[known], has_word[known], has_context[known] = head.contexts[at], head.has_word[at], head.has_context[at]
+        opens = np.zeros(n, np.uint8)
+        if self.live is not None:
+            coded = [w.encode("utf-8", "surrogatepass") for w in words]
+            crc = lambda f: np.fromiter(map(f, coded), np.uint32, n)
+            of_stem = np.fromiter((zlib.crc32(("\x00s" + w[:STEM]).encode("utf-8", "surrogatepass")) for w in words), np.uint32, n)
+            no_stem = np.fromiter((x is None for x in stem), bool, n)
+            opens |= self.STEM * (no_stem & self.is_open(of_stem)).astype(np.uint8)
+            opens |= self.WORD * (~has_word & self.is_open(crc(lambda w: zlib.crc32(b"\x00w" + w)))).astype(np.uint8)
+            opens |= self.CONTEXT * (~has_context & self.is_open(crc(lambda w: zlib.crc32(b"\x00v" + w)))).astype(np.uint8)
+            self.crc, self.crc_before = np.append(self.crc, crc(zlib.crc32)), np.append(self.crc_before, crc(lambda w: zlib.crc32(w + b" ")))
+            self.size = np.append(self.size, np.fromiter(map(len, coded), np.int64, n))
+            self.names = pa.concat_arrays([self.names, pa.array(words, pa.string())])
+        self.own, self.context, self.place = np.append(self.own, own), np.append(self.context, context), np.append(self.place, place)
+        self.opens, self.goes_on = np.append(self.opens, opens), np.append(self.goes_on, has_context | (opens & self.CONTEXT > 0))
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of ``texts``, and how many each text has."""
+        if len(self.numbers) > CACHED_WORDS:
+            self.clear()
+        parts, before = [], len(self.numbers)
+        for t in texts:
+            words = words_of(t)
+            parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        if len(self.numbers) > before:
+            self.learn(list(islice(self.numbers, before, None)))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def pair_crc(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """crc32 of the names of bigrams: that of v and a space, moved by the length of w, with that of w."""
+        n, a = np.minimum(self.size[w], self.LONG), self.crc_before[v]
+        out = self.crc[w]
+        for k in range(4):
+            out = out ^ self.steps[n, k, a >> np.uint32(8 * k) & np.uint32(255)]
+        for k in np.flatnonzero(self.size[w] > self.LONG).tolist():
+            out[k] = zlib.crc32(f"{self.names[v[k]]} {self.names[w[k]]}".encode("utf-8", "surrogatepass"))
+        return out
+
+    def values(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, pa.Array]]]:
+        """The known value of each bigram's second word in its place, and its open names: at which bigrams, the names."""
+        x = self.own[w] + self.context[v]
+        after = self.goes_on[v]  # only after a context is there a bigram
+        vs, ws = self.place[v], self.place[w]
+        at = np.flatnonzero(after & (vs >= 0) & (ws >= 0))
+        if len(at) and len(self.head.pairs):
+            key = vs[at] << 32 | ws[at]
+            found = np.minimum(np.searchsorted(self.head.pairs, key), len(self.head.pairs) - 1)
+            hit = self.head.pairs[found] == key
+            at = at[hit]
+            x[at] += self.head.pair_values[found[hit]]
+            after[at] = False
+        if self.live is None:
+            return x, []
+        opens = []
+        for bit, kind, of in ((self.STEM, "\x00s", w), (self.WORD, "\x00w", w), (self.CONTEXT, "\x00v", v)):
+            at = np.flatnonzero(self.opens[of] & bit)
+            name = self.names.take(pa.array(of[at]))
+            opens.append((at, pc.binary_join_element_wise(kind, pc.utf8_slice_codeunits(name, 0, STEM) if bit == self.STEM else name, "")))
+        at = np.flatnonzero(after)
+        at = at[self.is_open(self.pair_crc(v[at], w[at]))]
+        opens.append((at, pc.binary_join_element_wise(self.names.take(pa.array(v[at])), self.names.take(pa.array(w[at])), " ")))
+        return x, opens
 
 
 def _name(kind: str, word: str) -> Column:
@@ -347,7 +485,7 @@ def build_model(grams: DataFrame, counted: DataFrame, late: bool) -> KneserNey:
         live[found["at"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
         live = live.view(np.uint8)
     base = round((of_words.base + of_stems.base) * UNIT)
-    return KneserNey(base, entries.select("name", "value"), _arrow_bytes(top.select("name", "value").toArrow()), live, probabilities)
+    return KneserNey(base, entries.select("name", "value"), Head.of(top.select("name", "value").toArrow()), live, probabilities)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, held_out: int = 2) -> KneserNey:
@@ -384,74 +522,51 @@ def evidence(docs: DataFrame, model: KneserNey, key: str, text: str = "text") ->
     kind = src.schema["k"].dataType
     key_type = to_arrow_type(kind)
     joined = model.live is not None
-    names = ["rid", "half", "pos", "x", "over", "words", "k", "name"]
+    columns = ["rid", "half", "pos", "x", "over", "words", "k", "name"]
     limit = int(EXCESS * UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, live, base = shared.value
-        head = _entries(raw)
-        get, crc = head.get, zlib.crc32
-        bits = None if live is None else live.tobytes()
-
-        def is_open(name: str) -> bool:
-            """Whether a name that isn't in the head may have a value all the same."""
-            if bits is None or name in head:
-                return False
-            x = crc(name.encode("utf-8", "surrogatepass")) % FILTER_BITS
-            return bool(bits[x >> 3] >> (x & 7) & 1)
-
-        # of a word: value of its stem and itself, their open names; the value of its context, or None if it has none, and its open name
-        known: dict[str, tuple[int, tuple[str, ...]]] = {}
-        before: dict[str, tuple[int | None, tuple[str, ...]]] = {}
-        for batch in sliced(batches, "t", 256 << 10):
-            row, half, pos, xs, overs, count, left = [], [], [], [], [], [], []
-            if len(known) > CACHED_WORDS:
-                known.clear(), before.clear()
-            for r, t in enumerate(batch.column(2).to_pylist()):
-                words = words_of(t)
-                total, over = 0, {0: 0}  # of the words without open names; halves without excess have no row but the first
-                v = _START
-                for i, w in enumerate(words):
-                    own = known.get(w)
-                    if own is None:
-                        s, n = "\x00s" + w[:STEM], "\x00w" + w
-                        own = known[w] = base + get(s, 0) + get(n, 0), tuple(filter(is_open, (s, n)))
-                    context = before.get(v)
-                    if context is None:
-                        n = "\x00v" + v
-                        context = before[v] = get(n), (n,) if is_open(n) else ()
-                    x, more = own
-                    if context[0] is not None or context[1]:  # only after a context is there a bigram
-                        pair = v + " " + w
-                        value = get(pair)
-                        x += (context[0] or 0) + (value or 0)
-                        more += context[1]
-                        if value is None and is_open(pair):
-                            more += (pair,)
-                    if more:
-                        n = len(more)  # what is known of the word goes with its first open name
-                        row += [r] * n
-                        half += [i // HALF] * n
-                        pos += [i] * n
-                        xs += [x] + [0] * (n - 1)
-                        overs += [0] * n
-                        count += [None] * n
-                        left += more
-                    else:
-                        total += x
-                        if x > limit:
-                            over[i // HALF] = over.get(i // HALF, 0) + x - limit
-                    v = w
-                row += [r] * len(over)
-                half += over
-                pos += [-1] * len(over)
-                xs += [total] + [0] * (len(over) - 1)
-                overs += over.values()
-                count += [len(words)] + [None] * (len(over) - 1)
-                left += [None] * len(over)
-            at = pa.array(row, pa.int64())
-            keys = batch.column(1).take(pa.array(np.array(row, np.int64), mask=np.array([n is None for n in count], bool)))
-            yield pa.record_batch([batch.column(0).take(at), pa.array(half, pa.int64()), pa.array(pos, pa.int64()), pa.array(xs, pa.int64()), pa.array(overs, pa.int64()), pa.array(count, pa.int64()), keys.cast(key_type), pa.array(left, pa.string())], names)
+        lexicon = _Lexicon(*shared.value)
+        for batch in sliced(batches, "t", 1 << 20):
+            w, count = lexicon.read(batch.column(2).to_pylist())
+            n = batch.num_rows
+            first = np.cumsum(count) - count
+            row = np.repeat(np.arange(n), count)
+            pos = np.arange(len(w)) - first[row]
+            v = np.where(pos > 0, np.roll(w, 1), 0)
+            x, opens = lexicon.values(v, w)
+            # what is known of a word with open names goes with its first open name, of the others with the text
+            left, apart = x.copy(), np.zeros(len(w), bool)
+            more = []
+            for at, name in opens:
+                more.append((at, np.where(apart[at], 0, x[at]), name))
+                apart[at] = True
+            left[apart] = 0
+            total = np.zeros(n, np.int64)
+            has = count > 0
+            begin = np.flatnonzero(pos % HALF == 0)
+            if len(w):
+                total[has] = np.add.reduceat(left, first[has])
+                half_over = np.add.reduceat(np.where(left > limit, left - limit, 0), begin)
+            else:
+                half_over = left
+            half_row, half = row[begin], pos[begin] // HALF
+            over = np.zeros(n, np.int64)
+            over[half_row[half == 0]] = half_over[half == 0]
+            on = (half > 0) & (half_over > 0)  # halves without excess have no row but the first
+            zeros = lambda k: np.zeros(k, np.int64)
+            m, own = int(on.sum()), [at for at, _, _ in more]
+            opened = sum(map(len, own))
+            rows = np.concatenate([np.arange(n), half_row[on], *(row[at] for at in own)])
+            halves = np.concatenate([zeros(n), half[on], *(pos[at] // HALF for at in own)])
+            places = np.concatenate([zeros(n + m) - 1, *(pos[at] for at in own)])
+            xs = np.concatenate([total, zeros(m), *(x for _, x, _ in more)])
+            overs = np.concatenate([over, half_over[on], zeros(opened)])
+            rest = np.arange(len(rows)) >= n
+            counts = pa.array(np.concatenate([count, zeros(m + opened)]), mask=rest)
+            keys = batch.column(1).take(pa.array(rows, mask=rest))
+            names = pa.concat_arrays([pa.nulls(n + m, pa.string()), *(name.cast(pa.string()) for _, _, name in more)])
+            yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(halves), pa.array(places), pa.array(xs), pa.array(overs), counts, keys.cast(key_type), names], columns)
 
     c = F.col
     rows = src.mapInArrow(run, f"rid long, half long, pos long, x long, over long, words long, k {kind.simpleString()}, name string")

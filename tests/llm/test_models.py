@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ROWS, documents, ids
 from pyspark.sql import functions as F
@@ -223,6 +224,17 @@ def test_counting_with_few_numbers_and_buckets(spark, monkeypatch):
     assert sorted(toxicity.count_bigrams(labelled).collect()) == whole
 
 
+def test_words_and_bigram_hashes_by_arrays():
+    texts = ["".join(map(chr, range(128))), "A_b-C9 d", "", "Ünï_cödé İx"]
+    assert [toxicity.words_of(t) for t in texts] == [toxicity._WORD.findall(t.lower()) for t in texts]
+    words = ["", "a", "é日", "x" * 63, "x" * 64, "ß" * 40, "y" * 300]
+    head = toxicity.Head.of(pa.table({"name": pa.array([], pa.string()), "value": pa.array([], pa.int64())}))
+    lexicon = toxicity._Lexicon(head, np.full(toxicity.FILTER_BITS // 8, 255, np.uint8), 0)
+    lexicon.learn(words[1:])
+    v, w = (x.ravel() for x in np.meshgrid(range(len(words)), range(len(words))))
+    assert lexicon.pair_crc(v, w).tolist() == [zlib.crc32(f"{words[a]} {words[b]}".encode()) for a, b in zip(v, w, strict=True)]
+
+
 def test_toxicity_on_awkward_rows(spark, toxic):
     docs, labels, _ = toxic
     model = fit_toxicity(docs, labels)
