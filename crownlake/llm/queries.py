@@ -55,10 +55,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentations of all whole texts of ``documents``, and what their ids decode to."""
-    from .sampling import decode_ids, sampled_segmentations
+    from .sampling import sampled_segmentations
 
     path = tokenizer_file("piece_bpe_32k.model")
-    return decode_ids(sampled_segmentations(table(spark, sf_dir, "documents"), path, keys=["doc_id"], k=3), path)
+    return sampled_segmentations(table(spark, sf_dir, "documents"), path, keys=["doc_id"], k=3, decoded="decoded")
 
 
 def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

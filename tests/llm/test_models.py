@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from crownlake.llm import toxicity
 from crownlake.llm.queries import tokenizer_file
 from crownlake.llm.rule_ensemble import fit_quality, fit_rules, keep_quality, score_quality, text_statistics
-from crownlake.llm.sampling import Draws, Sampler, decode_ids, encode_text, sampled_segmentations
+from crownlake.llm.sampling import SPACE, Decoder, Draws, Sampler, decode_ids, encode_text, sampled_segmentations
 from crownlake.llm.toxicity import calibrate, drop_toxic, fit_toxicity, score_toxicity
 
 #: As in real texts, a word stands after many different ones.
@@ -362,3 +362,20 @@ def test_samples_decode_to_the_text(spark):
     again = sampled_segmentations(docs.repartition(3), path, keys=["doc_id"], k=3).collect()
     assert sorted(map(key, got.collect())) == sorted(map(key, again))
     assert sampled_segmentations(documents(spark, []), path, keys=["doc_id"]).count() == 0
+
+
+def test_decoding_by_arrays_equals_the_library(spark):
+    """Of plain, byte, unknown and odd pieces, without the ids as Python lists; in the sampling task it is the same."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = Sampler.load(path, 1.0).model
+    rng = random.Random(1)
+    space, size = model.piece_to_id(SPACE), model.get_piece_size()
+    lists = [[], None, [0], [space] * 3, [space, 400, space], *([rng.randrange(size) for _ in range(rng.randint(1, 5))] for _ in range(500)), *([space, *rng.choices(range(size), k=2)] for _ in range(300))]
+    lists += [[space, *model.encode(t)] for t in ("é日本 x", "\u0001\u0002 a", "plain words")] + [model.encode("🜚 and text")]
+    decoder = Decoder(model)
+    expected = [None if v is None else model.decode(v) for v in lists]
+    assert decoder(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == expected
+    assert decoder(pa.array(lists, pa.list_(pa.int32())).slice(3, 50)).to_pylist() == expected[3:53]
+    docs = documents(spark, [(k, t) for k, t in ROWS if t is None or len(t) < 6000])
+    got = sampled_segmentations(docs, path, keys=["doc_id"], decoded="text")
+    assert got.columns == ["doc_id", "rank", "ids", "log_prob", "inclusion", "text"] and all(r.text == model.decode(r.ids) for r in got.collect())
